@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference works on bounded survey tables only: no streams, watermarks,
+windows over event time or state appear in it, so no Structured Streaming job
+is built. Every operator in this package is a function from bounded
+DataFrames to a DataFrame and can be applied per micro-batch inside
+``foreachBatch`` if a caller feeds survey rows as a stream.
+"""
