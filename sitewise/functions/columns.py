@@ -120,7 +120,7 @@ def safe_boolean(c: ColumnOrName) -> Column:
 
 def parse_date(c: ColumnOrName, fmt: str = "yyyy-MM-dd") -> Column:
     """ymd(): impossible dates (2013-02-31) and blanks become missing."""
-    return F.try_to_date(_c(c).cast("string"), F.lit(fmt))
+    return F.try_to_date(_c(c).cast("string"), fmt)
 
 
 def as_date(df: DataFrame, name: str) -> Column:
