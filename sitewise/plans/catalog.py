@@ -9,6 +9,7 @@ from sitewise.plans.registry import ORACLES, QUERIES
 MODULES = [
     "sitewise.plans.q_clean",
     "sitewise.plans.q_core",
+    "sitewise.plans.q_stats",
 ]
 
 
