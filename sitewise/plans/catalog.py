@@ -10,6 +10,8 @@ MODULES = [
     "sitewise.plans.q_clean",
     "sitewise.plans.q_core",
     "sitewise.plans.q_stats",
+    "sitewise.plans.q_io",
+    "sitewise.plans.q_report",
 ]
 
 

@@ -97,14 +97,36 @@ def batch_split(df: DataFrame, region_col: str, regions: Sequence[str]) -> tuple
     return present, rejected
 
 
-def report_tables(df: DataFrame, region_col: str, level: str, date_col: str, target: str,
-                  by_region: bool = True) -> dict[str, DataFrame]:
-    """The report's tables (R1-R3): headline share, class distribution,
-    status share per region, install trend. ``by_region`` keys every table by
-    region so one job serves a whole batch."""
-    by = [region_col] if by_region else []
-    return {
-        "headline": headline_share(df, level, target, by),
-        "distribution": share_within_group(df, by, level),
-        "trend": install_trend(df, date_col, level, by),
-    }
+def report_long(df: DataFrame, region_col: str, level: str, date_col: str, target: str,
+                by_region: bool = True, overall_label: str = ALL_REGIONS) -> DataFrame:
+    """All report sections (R1-R3) as one long table.
+
+    The input is read once: a single aggregate at the finest grain (region x
+    level x year) shrinks it to a few hundred rows, and the headline share,
+    the class distribution and the install trend are all derived from that
+    small table. Columns: region, section, status_group, year, n, value."""
+    yr = F.year(date_col).cast("int").alias("year")
+    reg = F.col(region_col) if by_region else F.lit(overall_label)
+    base = df.groupBy(reg.alias("region"), F.col(level).alias("status_group"), yr).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("region")
+    head = base.groupBy("region").agg(
+        F.sum("n").alias("n"),
+        F.round(F.sum(F.when(F.col("status_group") == target, F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 6).alias("value"),
+    ).select("region", F.lit("headline").alias("section"), F.lit(None).cast("string").alias("status_group"),
+             F.lit(None).cast("int").alias("year"), "n", "value")
+    dist = base.groupBy("region", "status_group").agg(F.sum("n").alias("n"))
+    dist = dist.select("region", F.lit("distribution").alias("section"), "status_group", F.lit(None).cast("int").alias("year"),
+                       "n", F.round(F.col("n") / F.sum("n").over(w), 6).alias("value"))
+    trend = base.select("region", F.lit("trend").alias("section"), "status_group", "year", "n",
+                        F.lit(None).cast("double").alias("value"))
+    return head.unionByName(dist).unionByName(trend)
+
+
+def risk_strata(df: DataFrame, score: str, out: str = "stratum") -> DataFrame:
+    """Tertiles of a risk score: low / medium / high by exact 1/3 and 2/3 quantiles."""
+    from sitewise.functions.quantiles import exact_quantiles
+
+    q = exact_quantiles(df, score, [1 / 3, 2 / 3], ["t1", "t2"]).select(F.struct("t1", "t2").alias("t")).scalar()
+    x = F.col(score)
+    s = F.when(x.isNull(), None).when(x <= F.col("_t.t1"), "low").when(x <= F.col("_t.t2"), "medium").otherwise("high")
+    return df.withColumn("_t", q).withColumn(out, s).drop("_t")
