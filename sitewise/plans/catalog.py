@@ -12,6 +12,7 @@ MODULES = [
     "sitewise.plans.q_stats",
     "sitewise.plans.q_io",
     "sitewise.plans.q_report",
+    "sitewise.plans.q_spatial",
 ]
 
 
