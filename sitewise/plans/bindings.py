@@ -144,3 +144,62 @@ SELECT vec_id AS id, label AS grp,
        -6.0 + 20.0 * CAST(embedding[2] AS DOUBLE) AS lat
 FROM embeddings
 """
+
+
+# ---------------------------------------------------------------- score tables (metrics without a model)
+
+PROB_COLS = {
+    "functional": "p_functional",
+    "functional needs repair": "p_functional_needs_repair",
+    "non functional": "p_non_functional",
+}
+
+# Two deterministic "models": raw parts from order columns plus a bonus on
+# the true level for most rows, normalised to probabilities.
+_MODEL_PARTS = {
+    "model_a": ("(o_totalprice % 1000.0) / 1000.0", "(o_custkey % 97) / 97.0",
+                "CAST(day(o_orderdate) AS DOUBLE) / 31.0", "o_orderkey % 3 <> 0", 0.5),
+    "model_b": ("(o_totalprice % 777.0) / 777.0", "(o_orderkey % 89) / 89.0",
+                "CAST(month(o_orderdate) AS DOUBLE) / 12.0", "o_orderkey % 4 <> 1", 0.3),
+}
+
+
+def _parts_spark(model: str):
+    o = F.col
+    if model == "model_a":
+        a = (o("o_totalprice") % 1000.0) / 1000.0
+        b = (o("o_custkey") % 97) / 97.0
+        c = F.dayofmonth("o_orderdate").cast("double") / 31.0
+        boost, bonus = (o("o_orderkey") % 3) != 0, 0.5
+    else:
+        a = (o("o_totalprice") % 777.0) / 777.0
+        b = (o("o_orderkey") % 89) / 89.0
+        c = F.month("o_orderdate").cast("double") / 12.0
+        boost, bonus = (o("o_orderkey") % 4) != 1, 0.3
+    return a, b, c, boost, bonus
+
+
+def scores(spark: SparkSession, d: str, model: str = "model_a") -> DataFrame:
+    """(id, truth, pred, p_<level>...) for one deterministic scoring rule."""
+    from sitewise.operators.metrics import argmax_level
+
+    o = table(spark, d, "orders")
+    a, b, c, boost, bonus = _parts_spark(model)
+    truth = status_expr()
+    raw = [a, b, c]
+    raw = [r + F.when(boost & (truth == lv), F.lit(bonus)).otherwise(F.lit(0.0)) for r, lv in zip(raw, STATUS_LEVELS)]
+    t = o.select(F.col("o_orderkey").alias("id"), truth.alias("truth"), *[r.alias(f"s{i}") for i, r in enumerate(raw)])
+    tot = F.col("s0") + F.col("s1") + F.col("s2")
+    t = t.select("id", "truth", *[(F.col(f"s{i}") / tot).alias(PROB_COLS[lv]) for i, lv in enumerate(STATUS_LEVELS)])
+    return t.withColumn("pred", argmax_level(PROB_COLS))
+
+
+def scores_sql(model: str = "model_a") -> str:
+    a, b, c, boost, bonus = _MODEL_PARTS[model]
+    lv = STATUS_LEVELS
+    s = [f"{x} + CASE WHEN {boost} AND {STATUS_SQL} = '{l}' THEN {bonus} ELSE 0.0 END" for x, l in zip((a, b, c), lv)]
+    p = list(PROB_COLS.values())
+    return f"""SELECT id, truth, {p[0]}, {p[1]}, {p[2]},
+  CASE WHEN {p[0]} >= {p[1]} AND {p[0]} >= {p[2]} THEN '{lv[0]}' WHEN {p[1]} >= {p[2]} THEN '{lv[1]}' ELSE '{lv[2]}' END AS pred
+FROM (SELECT id, truth, s0 / (s0 + s1 + s2) AS {p[0]}, s1 / (s0 + s1 + s2) AS {p[1]}, s2 / (s0 + s1 + s2) AS {p[2]}
+      FROM (SELECT o_orderkey AS id, {STATUS_SQL} AS truth, {s[0]} AS s0, {s[1]} AS s1, {s[2]} AS s2 FROM orders) r) q"""

@@ -13,6 +13,7 @@ MODULES = [
     "sitewise.plans.q_io",
     "sitewise.plans.q_report",
     "sitewise.plans.q_spatial",
+    "sitewise.plans.q_metrics",
 ]
 
 
