@@ -14,6 +14,7 @@ MODULES = [
     "sitewise.plans.q_report",
     "sitewise.plans.q_spatial",
     "sitewise.plans.q_metrics",
+    "sitewise.plans.q_model",
 ]
 
 
