@@ -26,6 +26,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+# Largest per-group row count handled by one task (a checked bound, not a
+# guess): below it a single window / Spark's exact percentile is used, above
+# it the two-level path. Overridable per session.
+LOCAL_MAX_CONF = "sitewise.quantile.maxRowsPerTask"
+DEFAULT_LOCAL_MAX = 2_000_000
+
+
+def _local_max(df: DataFrame) -> int:
+    try:
+        return int(df.sparkSession.conf.get(LOCAL_MAX_CONF, str(DEFAULT_LOCAL_MAX)))
+    except Exception:  # noqa: BLE001
+        return DEFAULT_LOCAL_MAX
+
+
+def _largest_group(df: DataFrame, by: list[str]) -> int:
+    """Row count of the largest group (one small aggregate job)."""
+    if not by:
+        return df.count()
+    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()
+    return int(row[0] or 0)
 
 
 def _bucket_bounds(df: DataFrame, order: str, by: list[str], n_buckets: int) -> DataFrame | Column:
@@ -53,6 +73,13 @@ def ordered_prefix(
     key = "_ord"
     base = df.withColumn(key, -F.col(order) if descending else F.col(order).cast("double"))
     w = F.col(weight) if weight else F.lit(1).cast("long")
+    if _largest_group(base, by) <= _local_max(base):
+        # Every group fits one task (checked): one window per group.
+        wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        return base.withColumns({
+            "_cum": F.sum(w).over(wg.orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_n": F.sum(w).over(wg),
+        }).drop(key)
     bounds = _bucket_bounds(base, key, by, n_buckets)
     if by:
         # One row per group; AQE broadcasts it when small, shuffles otherwise.
@@ -90,6 +117,11 @@ def exact_quantiles(
     v = df.select(*by, F.col(value).cast("double").alias("_v"))
     v = v.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     counted = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    if _largest_group(counted, by) <= _local_max(df):
+        # Distinct values per group are within the checked bound: Spark's
+        # exact percentile (same interpolation) with the counts as weights.
+        aggs = [F.percentile("_v", F.lit(float(p)), F.col("_w")).alias(n) for p, n in zip(probs, names)]
+        return counted.groupBy(*by).agg(*aggs)
     ranked = ordered_prefix(counted, "_v", by, weight="_w", n_buckets=n_buckets)
     # Row covers 0-based ranks [_cum - _w, _cum).
     lo_rank = F.col("_cum") - F.col("_w")

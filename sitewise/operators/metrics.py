@@ -17,24 +17,24 @@ from pyspark.sql import functions as F
 from sitewise.functions.quantiles import ordered_prefix
 
 
-def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    return df.agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("accuracy"))
+def accuracy(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("accuracy"))
 
 
-def class_counts(df: DataFrame, truth: str, pred: str, levels: Sequence[str]) -> DataFrame:
+def class_counts(df: DataFrame, truth: str, pred: str, levels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(level, tp, fp, fn) for every level, zero where a level never occurs."""
     lv = F.array(*[F.lit(x) for x in levels])
-    per = df.select(F.explode(lv).alias("level"), truth, pred)
-    return per.groupBy("level").agg(
+    per = df.select(*by, F.explode(lv).alias("level"), truth, pred)
+    return per.groupBy(*by, "level").agg(
         F.count_if((F.col(truth) == F.col("level")) & (F.col(pred) == F.col("level"))).cast("long").alias("tp"),
         F.count_if((F.col(truth) != F.col("level")) & (F.col(pred) == F.col("level"))).cast("long").alias("fp"),
         F.count_if((F.col(truth) == F.col("level")) & (F.col(pred) != F.col("level"))).cast("long").alias("fn"),
     )
 
 
-def per_class_prf(df: DataFrame, truth: str, pred: str, levels: Sequence[str]) -> DataFrame:
+def per_class_prf(df: DataFrame, truth: str, pred: str, levels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 per level; undefined (0/0) values are null."""
-    c = class_counts(df, truth, pred, levels)
+    c = class_counts(df, truth, pred, levels, by)
     p = F.try_divide(F.col("tp").cast("double"), F.nullif(F.col("tp") + F.col("fp"), F.lit(0)))
     r = F.try_divide(F.col("tp").cast("double"), F.nullif(F.col("tp") + F.col("fn"), F.lit(0)))
     c = c.withColumns({"precision": p, "recall": r})
@@ -43,14 +43,14 @@ def per_class_prf(df: DataFrame, truth: str, pred: str, levels: Sequence[str]) -
     return c.withColumn("f1", f1)
 
 
-def macro_prf(df: DataFrame, truth: str, pred: str, levels: Sequence[str]) -> DataFrame:
+def macro_prf(df: DataFrame, truth: str, pred: str, levels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Macro averages (mean over levels); a null level value makes the mean null."""
-    c = per_class_prf(df, truth, pred, levels)
+    c = per_class_prf(df, truth, pred, levels, by)
 
     def mean_strict(col):
         return F.when(F.count_if(F.col(col).isNull()) > 0, F.lit(None)).otherwise(F.avg(col))
 
-    return c.agg(mean_strict("precision").alias("precision"), mean_strict("recall").alias("recall"),
+    return c.groupBy(*by).agg(mean_strict("precision").alias("precision"), mean_strict("recall").alias("recall"),
                  mean_strict("f1").alias("f_meas"))
 
 
@@ -71,7 +71,7 @@ def _pair_auc(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, (F.col("wins") / (F.col("P") * F.col("N"))).alias("auc"))
 
 
-def hand_till_auc(df: DataFrame, truth: str, prob: Mapping[str, str]) -> DataFrame:
+def hand_till_auc(df: DataFrame, truth: str, prob: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Multiclass AUC of Hand & Till (2001): mean over ordered level pairs
     (i, j) of AUC(i vs j) using the probability of i, on rows of i and j."""
     levels = list(prob)
@@ -82,9 +82,9 @@ def hand_till_auc(df: DataFrame, truth: str, prob: Mapping[str, str]) -> DataFra
                                                      F.col(prob[i]).cast("double").alias("v"),
                                                      (F.col(truth) == i).alias("pos")))
         )
-    long = df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s")).select("s.*")
-    pair = _pair_auc(long, ["li", "lj"])
-    return pair.agg(F.avg("auc").alias("roc_auc"))
+    long = df.select(*by, F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s")).select(*by, "s.*")
+    pair = _pair_auc(long, [*by, "li", "lj"])
+    return pair.groupBy(*by).agg(F.avg("auc").alias("roc_auc"))
 
 
 def binary_auc(df: DataFrame, truth: str, score: str, positive: str) -> DataFrame:
@@ -119,15 +119,18 @@ def roc_points(df: DataFrame, truth: str, score: str, positive: str) -> DataFram
     )
 
 
-def metric_table(df: DataFrame, truth: str, pred: str, prob: Mapping[str, str], model: str) -> DataFrame:
-    """Long metric table: model, metric, estimator, estimate."""
+def metric_table(df: DataFrame, truth: str, pred: str, prob: Mapping[str, str], model: str,
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Long metric table: model, [by...], metric, estimator, estimate. With
+    ``by`` (e.g. grid point and fold) every group is scored in the same job."""
     levels = list(prob)
-    acc = accuracy(df, truth, pred).select(F.lit("accuracy").alias("metric"), F.lit("multiclass").alias("estimator"),
-                                           F.col("accuracy").alias("estimate"))
-    f = macro_prf(df, truth, pred, levels).select(F.lit("f_meas").alias("metric"), F.lit("macro").alias("estimator"),
-                                                  F.col("f_meas").alias("estimate"))
-    auc = hand_till_auc(df, truth, prob).select(F.lit("roc_auc").alias("metric"), F.lit("hand_till").alias("estimator"),
-                                                F.col("roc_auc").alias("estimate"))
+    by = list(by)
+    acc = accuracy(df, truth, pred, by).select(*by, F.lit("accuracy").alias("metric"),
+                                               F.lit("multiclass").alias("estimator"), F.col("accuracy").alias("estimate"))
+    f = macro_prf(df, truth, pred, levels, by).select(*by, F.lit("f_meas").alias("metric"), F.lit("macro").alias("estimator"),
+                                                      F.col("f_meas").alias("estimate"))
+    auc = hand_till_auc(df, truth, prob, by).select(*by, F.lit("roc_auc").alias("metric"),
+                                                    F.lit("hand_till").alias("estimator"), F.col("roc_auc").alias("estimate"))
     return acc.unionByName(f).unionByName(auc).select(F.lit(model).alias("model"), "*")
 
 

@@ -178,19 +178,19 @@ def tune_grid(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], data: D
               key: str, truth: str, levels: Sequence[str], model_name: str) -> DataFrame:
     """Fit every grid point on every fold's complement, score the held-out
     fold: long table (model, param_id, fold, metric, estimate)."""
-    spark = data.sparkSession
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
     names = prob_names(levels)
-    parts = []
+    data = data.checkpoint(eager=True)  # read once per fit: cut the lineage
+    preds = None
     for pid, params in enumerate(grid):
         for k in folds:
             train = data.where(F.col(fold_col) != k)
             held = data.where(F.col(fold_col) == k)
             m = fit(recipe, make_estimator(**params), train)
-            pr = predict(m, held, key, truth, levels)
-            rows = ME.metric_table(pr, "truth", "pred", names, model_name).collect()
-            parts += [(model_name, pid, int(k), r["metric"], r["estimate"]) for r in rows]
-    return spark.createDataFrame(parts, "model string, param_id int, fold int, metric string, estimate double")
+            pr = predict(m, held, key, truth, levels).withColumns({"param_id": F.lit(pid), "fold": F.lit(int(k)).cast("int")})
+            preds = pr if preds is None else preds.unionByName(pr)
+    # Every (grid point, fold) is scored in one grouped metric job.
+    return ME.metric_table(preds, "truth", "pred", names, model_name, ["param_id", "fold"])
 
 
 def select_best(metrics: DataFrame, metric: str = "accuracy") -> DataFrame:
