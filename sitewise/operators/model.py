@@ -238,6 +238,9 @@ def smote_2d(df: DataFrame, label: str, x: str, y: str, key: str, k: int = 5, se
     from sitewise.functions.quantiles import ordered_prefix
     from sitewise.operators.spatial import knn_points
 
+    out_label, out_x, out_y = label, x, y
+    df = df.select(F.col(key), F.col(label).alias("_lbl"), F.col(x).alias("_px"), F.col(y).alias("_py"))
+    label, x, y = "_lbl", "_px", "_py"
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     target = sizes.agg(F.max("n_c")).scalar()
     base = df.select(key, label, x, y).join(sizes, label)
@@ -263,7 +266,7 @@ def smote_2d(df: DataFrame, label: str, x: str, y: str, key: str, k: int = 5, se
         F.col(key).alias("base_id"), F.col("nx"), F.col("ny"))
     orig = df.select(key, label, x, y, F.lit(False).alias("synthetic"), F.col(key).alias("base_id"),
                      F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny"))
-    return orig.unionByName(synth)
+    return orig.unionByName(synth).withColumnsRenamed({label: out_label, x: out_x, y: out_y})
 
 
 # ---------------------------------------------------------------- interpretation
