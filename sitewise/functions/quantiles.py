@@ -116,13 +116,18 @@ def exact_quantiles(
     by = list(by)
     v = df.select(*by, F.col(value).cast("double").alias("_v"))
     v = v.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counted = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    if _largest_group(counted, by) <= _local_max(df):
-        # Distinct values per group are within the checked bound: Spark's
-        # exact percentile (same interpolation) with the counts as weights.
-        aggs = [F.percentile("_v", F.lit(float(p)), F.col("_w")).alias(n) for p, n in zip(probs, names)]
-        return counted.groupBy(*by).agg(*aggs)
-    ranked = ordered_prefix(counted, "_v", by, weight="_w", n_buckets=n_buckets)
+    if _largest_group(v, by) <= _local_max(df):
+        # Every group's rows fit one task (checked): rank them with one sort
+        # per group; each row covers the single rank [rn, rn + 1).
+        wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        ranked = v.withColumns({
+            "_cum": F.row_number().over(wg.orderBy("_v")).cast("long"),
+            "_n": F.count(F.lit(1)).over(wg),
+            "_w": F.lit(1).cast("long"),
+        })
+    else:
+        counted = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
+        ranked = ordered_prefix(counted, "_v", by, weight="_w", n_buckets=n_buckets)
     # Row covers 0-based ranks [_cum - _w, _cum).
     lo_rank = F.col("_cum") - F.col("_w")
     hits, aggs = [], []
