@@ -101,6 +101,17 @@ def equal_width_bins(df: DataFrame, col: str, n_bins: int, out: str = "bin", by:
     return d.withColumn(out, b.cast("int")).drop("_lo", "_hi")
 
 
+def quantile_bins(df: DataFrame, col: str, n_bins: int = 4, out: str = "bin") -> DataFrame:
+    """Bin a heavy-tailed column by its exact quantiles: bin = number of the
+    n-1 inner quantile boundaries strictly below the value (0..n-1)."""
+    probs = [i / n_bins for i in range(1, n_bins)]
+    names = [f"b{i}" for i in range(1, n_bins)]
+    q = exact_quantiles(df, col, probs, names).select(F.array(*names).alias("b")).scalar()
+    x = F.col(col)
+    b = F.when(x.isNull(), None).otherwise(F.size(F.filter(F.col("_b"), lambda t: t < x)))
+    return df.withColumn("_b", q).withColumn(out, b.cast("int")).drop("_b")
+
+
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / sd, sd the sample one; statistics in one scalar subquery."""
     s = df.agg(
@@ -128,10 +139,18 @@ def clean_table(
     impute_exclude: Sequence[str] = (),
     age_col: str = "pump_age",
     null_safe_key: bool = False,
+    impute: bool = True,
+    materialize: bool = True,
 ) -> DataFrame:
     """Join -> parse dates -> age -> Unknown level -> parameter filter -> drop
     -> age repair -> median imputation. Medians come from the filtered rows and
-    are computed in one pass for every numeric column."""
+    are computed in one pass for every numeric column.
+
+    With ``materialize`` the filtered join is checkpointed once into the
+    shared folder, so the medians and the output read it instead of running
+    the join twice (and a lost executor does not redo the join).
+    ``impute=False`` stops after the filter and drop (for callers that only
+    count rows per category, which imputation cannot change)."""
     df = left_join(values, labels, [key], null_safe_key)
     df = df.withColumns({recorded: C.as_date(df, recorded), installed: C.as_date(df, installed)})
     df = df.withColumn(age_col, C.age_years(recorded, installed))
@@ -141,6 +160,10 @@ def clean_table(
     if start_year is not None:
         df = df.where(C.year_at_least(installed, start_year))
     df = df.drop(*drop)
+    if not impute:
+        return df
+    if materialize:
+        df = df.checkpoint(eager=True)
     num = C.columns_of_type(df, "numeric", [key, *impute_exclude])
     med = median_struct(df, num)
     age = F.col(age_col)
@@ -170,16 +193,18 @@ def column_profile_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     One aggregate for all columns, then reshaped; distinct counts are exact."""
     aggs = []
+    numeric = set(C.columns_of_type(df, "numeric"))
     for c in cols:
         frac = C.is_fractional(df, c)
         x = C.nan_to_null(c) if frac else F.col(c)
+        num = c in numeric
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"),
                 F.count_if(C.is_missing(c, frac)).cast("long").alias("n_missing"),
                 F.count_distinct(x).cast("long").alias("n_distinct"),
-                F.min(x).cast("double").alias("min"),
-                F.max(x).cast("double").alias("max"),
+                (F.min(x).cast("double") if num else F.lit(None).cast("double")).alias("min"),
+                (F.max(x).cast("double") if num else F.lit(None).cast("double")).alias("max"),
             )
         )
     return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
