@@ -102,10 +102,16 @@ def centroids(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> D
     return df.groupBy(*by).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count(F.lit(1)).alias("n"))
 
 
-def centroid_outliers(df: DataFrame, by: Sequence[str], id_col: str, x: str = "x", y: str = "y", p: float = 0.99) -> DataFrame:
-    """Distance to the group centroid; flag above the group's p-quantile (strict)."""
+def centroid_outliers(df: DataFrame, by: Sequence[str], id_col: str, x: str = "x", y: str = "y", p: float = 0.99,
+                      centroid_digits: int | None = 6) -> DataFrame:
+    """Distance to the group centroid; flag above the group's p-quantile (strict).
+
+    The centroid is rounded (default 1 micrometre) so the result does not
+    depend on the order in which partial sums were added."""
     by = list(by)
     c = centroids(df, by, x, y)
+    if centroid_digits is not None:
+        c = c.withColumns({"cx": F.round("cx", centroid_digits), "cy": F.round("cy", centroid_digits)})
     d = df.join(c.drop("n"), by).withColumn("dist", _dist(F.col(x), F.col(y), F.col("cx"), F.col("cy")))
     d = d.withColumn("dist", F.round("dist", 6))
     q = exact_quantiles(d, "dist", [p], ["threshold"], by)

@@ -185,14 +185,13 @@ def _contingency(df: DataFrame, features: Sequence[str], target: str) -> DataFra
         F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("a")) for f in features])),
     ).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     cells = long.groupBy("feature", "a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-    wf = Window.partitionBy("feature")
-    return (
-        cells.withColumn("n_a", F.sum("n_ab").over(Window.partitionBy("feature", "a")))
-        .withColumn("n_b", F.sum("n_ab").over(Window.partitionBy("feature", "b")))
-        .withColumn("n", F.sum("n_ab").over(wf))
-        .withColumn("r", F.size(F.collect_set("a").over(wf)))
-        .withColumn("c", F.size(F.collect_set("b").over(wf)))
-    )
+    # Margins by aggregation (partial sums before the shuffle), joined back on
+    # their keys: no window holds all cells of a high-cardinality feature.
+    row_m = cells.groupBy("feature", "a").agg(F.sum("n_ab").alias("n_a"))
+    col_m = cells.groupBy("feature", "b").agg(F.sum("n_ab").alias("n_b"))
+    tot = cells.groupBy("feature").agg(
+        F.sum("n_ab").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
+    return cells.join(row_m, ["feature", "a"]).join(col_m, ["feature", "b"]).join(tot, "feature")
 
 
 def cramers_v(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

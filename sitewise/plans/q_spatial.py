@@ -36,7 +36,7 @@ register(
 
 register(
     "centroid_outliers",
-    sql=f"""WITH p AS ({PTS_SQL}), c AS (SELECT grp, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY grp),
+    sql=f"""WITH p AS ({PTS_SQL}), c AS (SELECT grp, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM p GROUP BY grp),
 d AS (SELECT p.grp, p.id, round(sqrt((p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy)), 6) AS dist FROM p JOIN c ON p.grp = c.grp),
 q AS (SELECT grp, quantile_cont(dist, 0.99) AS threshold FROM d GROUP BY grp)
 SELECT d.grp, d.id, d.dist, round(q.threshold, 6) AS threshold, COALESCE(d.dist > q.threshold, false) AS is_outlier
