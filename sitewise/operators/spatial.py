@@ -129,7 +129,8 @@ def _locations(df: DataFrame, by: list[str], id_col: str, x: str, y: str) -> Dat
 
 
 def _with_cells(locs: DataFrame, by: list[str], k: int) -> DataFrame:
-    """Cell size per group from its density: about k+1 locations per cell."""
+    """Cell size per group from its density: about 2(k+1) locations per cell,
+    so the k-th neighbour is usually well inside the first 3x3 block."""
     g = locs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_nl"),
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"),
@@ -137,8 +138,9 @@ def _with_cells(locs: DataFrame, by: list[str], k: int) -> DataFrame:
     w = F.col("_x1") - F.col("_x0")
     h = F.col("_y1") - F.col("_y0")
     area = w * h
-    size = F.when(area > 0, F.sqrt(area * F.lit(k + 1) / F.col("_nl"))).otherwise(
-        F.greatest(F.greatest(w, h) * F.lit(k + 1) / F.col("_nl"), F.lit(1e-6))
+    per_cell = 2 * (k + 1)
+    size = F.when(area > 0, F.sqrt(area * F.lit(per_cell) / F.col("_nl"))).otherwise(
+        F.greatest(F.greatest(w, h) * F.lit(per_cell) / F.col("_nl"), F.lit(1e-6))
     )
     g = g.select(*by, "_x0", "_y0", size.alias("cell"), F.sqrt(w * w + h * h).alias("diag"))
     out = locs.join(g, by) if by else locs.withColumn("_g", g.select(F.struct("*").alias("g")).scalar()).select(
@@ -166,10 +168,10 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
     data = locs.select(*by, F.col("loc").alias("nbr_loc"), F.col("x").alias("ox"), F.col("y").alias("oy"),
                        F.col("m").alias("om"), F.col("cx").alias("ocx"), F.col("cy").alias("ocy"))
     pending = locs.where(F.col("need") > 0).select(*by, "loc", "x", "y", "cx", "cy", "cell", "diag", "need")
+    pending = pending.checkpoint(eager=True)
     found = []
     r = 1
     for _ in range(max_rounds):
-        pending = pending.checkpoint(eager=True)
         if pending.isEmpty():
             break
         off = F.sequence(F.lit(-r), F.lit(r))
@@ -180,15 +182,16 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
         w = Window.partitionBy(*by, "loc").orderBy("dist", "nbr_loc")
         before = F.coalesce(F.sum("om").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         cand = cand.withColumn("take", F.least(F.col("om"), F.col("need") - before))
-        taken = cand.where(F.col("take") > 0)
+        # The one heavy step of the round (block join + ranking), written once.
+        taken = cand.where(F.col("take") > 0).select(*by, "loc", "nbr_loc", "dist", "take").checkpoint(eager=True)
         stat = taken.groupBy(*by, "loc").agg(F.sum("take").alias("got"), F.max("dist").alias("kd"))
-        full = F.col("r_cell") >= F.col("diag")
         judged = pending.withColumn("r_cell", F.col("cell") * F.lit(float(r))).join(stat, [*by, "loc"], "left")
         ok = (F.coalesce(F.col("got"), F.lit(0)) >= F.col("need")) & (F.col("kd") < F.col("r_cell"))
+        full = F.col("r_cell") >= F.col("diag")
         done_keys = judged.where(ok | full).select(*by, "loc")
-        found.append(taken.join(done_keys, [*by, "loc"], "left_semi").select(*by, "loc", "nbr_loc", "dist", "take")
-                     .checkpoint(eager=True))
+        found.append(taken.join(done_keys, [*by, "loc"], "left_semi"))
         pending = judged.where(~(ok | full)).select(*by, "loc", "x", "y", "cx", "cy", "cell", "diag", "need")
+        pending = pending.checkpoint(eager=True)
         r *= 2
     nbrs = found[0] if found else spark.createDataFrame([], data.schema)
     for f in found[1:]:
