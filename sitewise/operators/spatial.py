@@ -128,56 +128,123 @@ def _locations(df: DataFrame, by: list[str], id_col: str, x: str, y: str) -> Dat
     )
 
 
-def _with_cells(locs: DataFrame, by: list[str], k: int) -> DataFrame:
-    """Cell size per group from its density: about 2(k+1) locations per cell,
-    so the k-th neighbour is usually well inside the first 3x3 block."""
+def _group_cells(locs: DataFrame, by: list[str], per_cell: int) -> DataFrame:
+    """Per group: origin, base cell size (about ``per_cell`` locations per cell
+    at the group's average density) and the diagonal of its extent."""
     g = locs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_nl"),
-        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"),
+        F.min("x").alias("x0"), F.max("x").alias("_x1"), F.min("y").alias("y0"), F.max("y").alias("_y1"),
     )
-    w = F.col("_x1") - F.col("_x0")
-    h = F.col("_y1") - F.col("_y0")
+    w = F.col("_x1") - F.col("x0")
+    h = F.col("_y1") - F.col("y0")
     area = w * h
-    per_cell = 2 * (k + 1)
     size = F.when(area > 0, F.sqrt(area * F.lit(per_cell) / F.col("_nl"))).otherwise(
         F.greatest(F.greatest(w, h) * F.lit(per_cell) / F.col("_nl"), F.lit(1e-6))
     )
-    g = g.select(*by, "_x0", "_y0", size.alias("cell"), F.sqrt(w * w + h * h).alias("diag"))
-    out = locs.join(g, by) if by else locs.withColumn("_g", g.select(F.struct("*").alias("g")).scalar()).select(
-        "*", "_g.*").drop("_g")
-    return out.withColumns({
-        "cx": F.floor((F.col("x") - F.col("_x0")) / F.col("cell")),
-        "cy": F.floor((F.col("y") - F.col("_y0")) / F.col("cell")),
-    }).drop("_x0", "_y0")
+    return g.select(*by, "x0", "y0", size.alias("s0"), F.sqrt(w * w + h * h).alias("diag"))
+
+
+def _cell(coord: str, origin: str, level: Column | int) -> Column:
+    lv = F.lit(level) if isinstance(level, int) else level
+    return F.floor((F.col(coord) - F.col(origin)) / (F.col("s0") / F.pow(F.lit(2.0), lv))).cast("long")
+
+
+MAX_LEVEL = 30  # finest cell = base / 2^30
+REFINE_FACTOR = 4  # a fine cell may hold up to 4x the target before refining
+
+
+def _refine_levels(locs: DataFrame, by: list[str], per_cell: int, max_iter: int = 10) -> DataFrame:
+    """Level per coarse cell, quadtree style: start from the cell's count,
+    recount locations per fine cell at that level and refine the coarse cells
+    whose densest fine cell is still above REFINE_FACTOR * per_cell. Each pass
+    is one aggregate over the (collapsed) locations; passes stop when no cell
+    needs refining. Output: by, c0x, c0y, clvl."""
+    counts = locs.groupBy(*by, "c0x", "c0y").agg(F.count(F.lit(1)).alias("cc"))
+    start = F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), F.ceil(F.log(4.0, F.col("cc") / F.lit(float(per_cell))))))
+    lv = counts.select(*by, "c0x", "c0y", start.cast("int").alias("clvl")).checkpoint(eager=True)
+    limit = REFINE_FACTOR * per_cell
+    for _ in range(max_iter):
+        at = locs.select(*by, "c0x", "c0y", "x", "y", "x0", "y0", "s0").join(lv, [*by, "c0x", "c0y"])
+        fine = at.groupBy(*by, "c0x", "c0y", "clvl", _cell("x", "x0", F.col("clvl")).alias("fx"),
+                          _cell("y", "y0", F.col("clvl")).alias("fy")).agg(F.count(F.lit(1)).alias("fc"))
+        worst = fine.groupBy(*by, "c0x", "c0y", "clvl").agg(F.max("fc").alias("fmax"))
+        over = worst.where((F.col("fmax") > limit) & (F.col("clvl") < MAX_LEVEL))
+        if over.isEmpty():
+            break
+        step = F.greatest(F.lit(1), F.ceil(F.log(4.0, F.col("fmax") / F.lit(float(per_cell))))).cast("int")
+        bumped = worst.select(*by, "c0x", "c0y", F.when(F.col("fmax") > limit, F.least(F.lit(MAX_LEVEL), F.col("clvl") + step))
+                              .otherwise(F.col("clvl")).alias("clvl"))
+        lv = bumped.checkpoint(eager=True)
+    return lv
+RING_MAX = 4    # at most (2*4+1)^2 = 81 cells searched per location and round
 
 
 def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str = "x", y: str = "y",
-                  max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+                  max_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
     """Exact weighted k-nearest neighbours of every distinct location.
 
     Returns (locs, nbrs):
       locs: by, x, y, m, loc, kdist, w0 (copies of itself used as neighbours)
       nbrs: by, loc, nbr_loc, dist, take (how many copies of nbr_loc are used)
     Neighbour order is (distance, location id); k counts points, not locations.
+
+    Cells adapt to local density: a coarse grid (about 2(k+1) locations per
+    cell on average) gives each coarse cell a level j so that the densest cell
+    of its 3x3 neighbourhood splits into cells of about 2(k+1) locations at
+    size base / 2^j. A location searches the (2r+1)^2 cells around it at its
+    level; it is resolved when its k-th neighbour is closer than r cells (so
+    nothing outside the block can be nearer) or the block covers the group.
+    Otherwise the searched distance doubles: first by widening the ring up to
+    ``RING_MAX``, then by moving to the next coarser level in use.
     """
     by = list(by)
-    spark = df.sparkSession
-    locs = _with_cells(_locations(df, by, id_col, x, y), by, k)
-    locs = locs.withColumns({"w0": F.least(F.col("m") - 1, F.lit(k)), "need": F.lit(k) - F.least(F.col("m") - 1, F.lit(k))})
+    per_cell = 2 * (k + 1)
+    locs = _locations(df, by, id_col, x, y)
+    locs = locs.join(_group_cells(locs, by, per_cell), by)
+    locs = locs.withColumns({"c0x": _cell("x", "x0", 0), "c0y": _cell("y", "y0", 0)})
+    locs = locs.checkpoint(eager=True)
+    cell_lvl = _refine_levels(locs, by, per_cell)
+    # A location searches at the finest level of its 3x3 coarse neighbourhood:
+    # finer cells only split counts, so every searched cell stays bounded.
+    off1 = F.sequence(F.lit(-1), F.lit(1))
+    spread = cell_lvl.withColumn("dx", F.explode(off1)).withColumn("dy", F.explode(off1)).select(
+        *by, (F.col("c0x") + F.col("dx")).alias("c0x"), (F.col("c0y") + F.col("dy")).alias("c0y"), "clvl")
+    block = spread.groupBy(*by, "c0x", "c0y").agg(F.max("clvl").alias("lvl"))
+    locs = locs.join(block, [*by, "c0x", "c0y"], "left")
+    locs = locs.withColumns({
+        "lvl": F.coalesce("lvl", F.lit(0)),
+        "w0": F.least(F.col("m") - 1, F.lit(k)),
+        "need": F.lit(k) - F.least(F.col("m") - 1, F.lit(k)),
+    }).drop("c0x", "c0y")
     locs = locs.checkpoint(eager=True)  # read by every round: materialise once in the shared folder
-    data = locs.select(*by, F.col("loc").alias("nbr_loc"), F.col("x").alias("ox"), F.col("y").alias("oy"),
-                       F.col("m").alias("om"), F.col("cx").alias("ocx"), F.col("cy").alias("ocy"))
-    pending = locs.where(F.col("need") > 0).select(*by, "loc", "x", "y", "cx", "cy", "cell", "diag", "need")
+    # Levels in use plus the base level (so coarsening always has a target);
+    # at most MAX_LEVEL + 1 small integers.
+    levels = sorted({0} | {r[0] for r in locs.select("lvl").distinct().collect()})
+
+    # Data side: every location indexed at every level in use.
+    data = locs.select(*by, "x0", "y0", "s0", F.col("loc").alias("nbr_loc"), "x", "y", F.col("m").alias("om"),
+                       F.explode(F.array(*[F.lit(v) for v in levels])).alias("lvl"))
+    data = data.select(*by, "lvl", "nbr_loc", F.col("x").alias("ox"), F.col("y").alias("oy"), "om",
+                       _cell("x", "x0", F.col("lvl")).alias("ocx"), _cell("y", "y0", F.col("lvl")).alias("ocy"))
+    data = data.checkpoint(eager=True)
+
+    coarser = None  # next coarser level in use, as a CASE over the (few) levels
+    for lo, hi in zip(levels, levels[1:]):
+        coarser = (F.when if coarser is None else coarser.when)(F.col("lvl") == hi, F.lit(lo))
+    coarser = (coarser.otherwise(F.col("lvl")) if coarser is not None else F.col("lvl"))
+
+    pending = locs.where(F.col("need") > 0).select(*by, "loc", "x", "y", "x0", "y0", "s0", "diag", "need", "lvl",
+                                                  F.lit(1).alias("r"))
     pending = pending.checkpoint(eager=True)
     found = []
-    r = 1
     for _ in range(max_rounds):
         if pending.isEmpty():
             break
-        off = F.sequence(F.lit(-r), F.lit(r))
-        q = pending.withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off))
+        q = pending.withColumns({"cx": _cell("x", "x0", F.col("lvl")), "cy": _cell("y", "y0", F.col("lvl"))})
+        off = F.sequence(-F.col("r"), F.col("r"))
+        q = q.withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off))
         q = q.withColumns({"ocx": F.col("cx") + F.col("dx"), "ocy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
-        cand = q.join(data, [*by, "ocx", "ocy"]).where(F.col("nbr_loc") != F.col("loc"))
+        cand = q.join(data, [*by, "lvl", "ocx", "ocy"]).where(F.col("nbr_loc") != F.col("loc"))
         cand = cand.withColumn("dist", _dist(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))
         w = Window.partitionBy(*by, "loc").orderBy("dist", "nbr_loc")
         before = F.coalesce(F.sum("om").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -185,15 +252,23 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
         # The one heavy step of the round (block join + ranking), written once.
         taken = cand.where(F.col("take") > 0).select(*by, "loc", "nbr_loc", "dist", "take").checkpoint(eager=True)
         stat = taken.groupBy(*by, "loc").agg(F.sum("take").alias("got"), F.max("dist").alias("kd"))
-        judged = pending.withColumn("r_cell", F.col("cell") * F.lit(float(r))).join(stat, [*by, "loc"], "left")
-        ok = (F.coalesce(F.col("got"), F.lit(0)) >= F.col("need")) & (F.col("kd") < F.col("r_cell"))
-        full = F.col("r_cell") >= F.col("diag")
+        reach = F.col("r") * F.col("s0") / F.pow(F.lit(2.0), F.col("lvl"))
+        judged = pending.withColumn("reach", reach).join(stat, [*by, "loc"], "left")
+        ok = (F.coalesce(F.col("got"), F.lit(0)) >= F.col("need")) & (F.col("kd") < F.col("reach"))
+        full = F.col("reach") >= F.col("diag")
         done_keys = judged.where(ok | full).select(*by, "loc")
         found.append(taken.join(done_keys, [*by, "loc"], "left_semi"))
-        pending = judged.where(~(ok | full)).select(*by, "loc", "x", "y", "cx", "cy", "cell", "diag", "need")
-        pending = pending.checkpoint(eager=True)
-        r *= 2
-    nbrs = found[0] if found else spark.createDataFrame([], data.schema)
+        left = judged.where(~(ok | full))
+        # Double the searched distance: widen the ring, or step to a coarser level.
+        nxt = F.col("_nl")
+        widen = (F.col("r") * 2 <= RING_MAX) | (F.col("lvl") == nxt)
+        left = left.withColumn("_nl", coarser).withColumns({
+            "r": F.when(widen, F.col("r") * 2).otherwise(
+                F.ceil(F.col("r") * F.lit(2.0) * F.pow(F.lit(2.0), nxt - F.col("lvl"))).cast("int")),
+            "lvl": F.when(widen, F.col("lvl")).otherwise(nxt),
+        })
+        pending = left.select(*by, "loc", "x", "y", "x0", "y0", "s0", "diag", "need", "lvl", "r").checkpoint(eager=True)
+    nbrs = found[0]
     for f in found[1:]:
         nbrs = nbrs.unionByName(f)
     kd = nbrs.groupBy(*by, "loc").agg(F.max("dist").alias("kdist"))

@@ -113,7 +113,7 @@ def _brute_knn(pts, k):
     return out
 
 
-@pytest.mark.parametrize("kind", ["random", "duplicates", "collinear"])
+@pytest.mark.parametrize("kind", ["random", "duplicates", "collinear", "dense_cluster"])
 def test_knn_exact_against_brute_force(spark, kind):
     rng = np.random.default_rng(7)
     pts = []
@@ -123,6 +123,9 @@ def test_knn_exact_against_brute_force(spark, kind):
             x, y = rng.normal(size=2) * [1000, 300]
         elif kind == "duplicates":
             x, y = (0.0, 0.0) if i < 40 else tuple(np.round(rng.normal(size=2) * 50, 0))
+        elif kind == "dense_cluster":
+            # a third of the points packed in a tiny square inside a wide area
+            x, y = (rng.random(2) * 0.01) if i % 3 == 0 else (rng.random(2) * 1000.0)
         else:
             x, y = float(i * 3 % 97), 0.0
         pts.append((g, i, float(x), float(y)))
@@ -137,7 +140,7 @@ def test_knn_exact_against_brute_force(spark, kind):
         dists = [d for _, _, d in lst]
         ref = sorted(math.hypot(pts[i][2] - pts[j][2], pts[i][3] - pts[j][3]) for j in want[i])
         assert dists == pytest.approx(ref, abs=1e-9)
-        if kind == "random":
+        if kind in ("random", "dense_cluster"):
             assert [n for _, n, _ in lst] == want[i]
     assert len(mine) == 120
 
