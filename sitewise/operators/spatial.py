@@ -160,9 +160,13 @@ def _refine_levels(locs: DataFrame, by: list[str], per_cell: int, max_iter: int
     is one aggregate over the (collapsed) locations; passes stop when no cell
     needs refining. Output: by, c0x, c0y, clvl."""
     counts = locs.groupBy(*by, "c0x", "c0y").agg(F.count(F.lit(1)).alias("cc"))
-    start = F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), F.ceil(F.log(4.0, F.col("cc") / F.lit(float(per_cell))))))
-    lv = counts.select(*by, "c0x", "c0y", start.cast("int").alias("clvl")).checkpoint(eager=True)
     limit = REFINE_FACTOR * per_cell
+    if counts.where(F.col("cc") > limit).isEmpty():
+        # No crowded cell anywhere: the base grid is already bounded.
+        return counts.select(*by, "c0x", "c0y", F.lit(0).alias("clvl"))
+    start = F.when(F.col("cc") <= limit, F.lit(0)).otherwise(
+        F.least(F.lit(MAX_LEVEL), F.ceil(F.log(4.0, F.col("cc") / F.lit(float(per_cell))))))
+    lv = counts.select(*by, "c0x", "c0y", start.cast("int").alias("clvl")).checkpoint(eager=True)
     for _ in range(max_iter):
         at = locs.select(*by, "c0x", "c0y", "x", "y", "x0", "y0", "s0").join(lv, [*by, "c0x", "c0y"])
         fine = at.groupBy(*by, "c0x", "c0y", "clvl", _cell("x", "x0", F.col("clvl")).alias("fx"),
@@ -202,7 +206,7 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
     locs = _locations(df, by, id_col, x, y)
     locs = locs.join(_group_cells(locs, by, per_cell), by)
     locs = locs.withColumns({"c0x": _cell("x", "x0", 0), "c0y": _cell("y", "y0", 0)})
-    locs = locs.checkpoint(eager=True)
+    locs = locs.checkpoint(eager=True)  # read by every step below: materialise once in the shared folder
     cell_lvl = _refine_levels(locs, by, per_cell)
     # A location searches at the finest level of its 3x3 coarse neighbourhood:
     # finer cells only split counts, so every searched cell stays bounded.
@@ -216,7 +220,6 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
         "w0": F.least(F.col("m") - 1, F.lit(k)),
         "need": F.lit(k) - F.least(F.col("m") - 1, F.lit(k)),
     }).drop("c0x", "c0y")
-    locs = locs.checkpoint(eager=True)  # read by every round: materialise once in the shared folder
     # Levels in use plus the base level (so coarsening always has a target);
     # at most MAX_LEVEL + 1 small integers.
     levels = sorted({0} | {r[0] for r in locs.select("lvl").distinct().collect()})
