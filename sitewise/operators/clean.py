@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from sitewise.session import checkpoint as _ckpt
 from pyspark.sql import types as T
 
 from sitewise.functions import columns as C
@@ -163,7 +165,7 @@ def clean_table(
     if not impute:
         return df
     if materialize:
-        df = df.checkpoint(eager=True)
+        df = _ckpt(df)
     num = C.columns_of_type(df, "numeric", [key, *impute_exclude])
     med = median_struct(df, num)
     age = F.col(age_col)

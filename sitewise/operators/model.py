@@ -33,6 +33,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewise.session import checkpoint as _ckpt
+
 from sitewise.operators import metrics as ME
 from sitewise.operators.windows import hash_unit
 
@@ -180,7 +182,7 @@ def tune_grid(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], data: D
     fold: long table (model, param_id, fold, metric, estimate)."""
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
     names = prob_names(levels)
-    data = data.checkpoint(eager=True)  # read once per fit: cut the lineage
+    data = _ckpt(data)  # read once per fit: cut the lineage
     preds = None
     for pid, params in enumerate(grid):
         for k in folds:
@@ -209,7 +211,7 @@ def adaboost_samme(recipe: Pipeline, train: DataFrame, test: DataFrame, key: str
     te = prep.transform(test).select(key, F.col(truth).alias("truth"), "features")
     K = len(levels)
     votes = te.select(key, "truth", *[F.lit(0.0).alias(f"v{i}") for i in range(K)])
-    tr = tr.checkpoint(eager=True)
+    tr = _ckpt(tr)
     for _ in range(rounds):
         tree = DecisionTreeClassifier(maxDepth=depth, weightCol="w", labelCol="label", featuresCol="features").fit(tr)
         scored = tree.transform(tr)
@@ -217,11 +219,11 @@ def adaboost_samme(recipe: Pipeline, train: DataFrame, test: DataFrame, key: str
         err = scored.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("e")).first()["e"]
         err = min(max(err, 1e-10), 1 - 1e-10)
         alpha = math.log((1 - err) / err) + math.log(K - 1)
-        tr = scored.select(key, "features", "label", (F.col("w") * F.exp(F.lit(alpha) * miss)).alias("w")).checkpoint(eager=True)
+        tr = _ckpt(scored.select(key, "features", "label", (F.col("w") * F.exp(F.lit(alpha) * miss)).alias("w")))
         pt = tree.transform(te).select(key, F.col("prediction").alias("p"))
         votes = votes.join(pt, key).select(
             key, "truth", *[(F.col(f"v{i}") + F.when(F.col("p") == i, F.lit(alpha)).otherwise(0.0)).alias(f"v{i}") for i in range(K)])
-        votes = votes.checkpoint(eager=True)
+        votes = _ckpt(votes)
     vnames = {lv: f"v{i}" for i, lv in enumerate(levels)}
     return votes.withColumn("pred", ME.argmax_level(vnames)).select(key, "truth", "pred")
 

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewise.session import checkpoint as _ckpt
+
 from sitewise.functions import columns as C
 from sitewise.functions.quantiles import exact_quantiles
 
@@ -166,7 +168,7 @@ def _refine_levels(locs: DataFrame, by: list[str], per_cell: int, max_iter: int
         return counts.select(*by, "c0x", "c0y", F.lit(0).alias("clvl"))
     start = F.when(F.col("cc") <= limit, F.lit(0)).otherwise(
         F.least(F.lit(MAX_LEVEL), F.ceil(F.log(4.0, F.col("cc") / F.lit(float(per_cell))))))
-    lv = counts.select(*by, "c0x", "c0y", start.cast("int").alias("clvl")).checkpoint(eager=True)
+    lv = _ckpt(counts.select(*by, "c0x", "c0y", start.cast("int").alias("clvl")))
     for _ in range(max_iter):
         at = locs.select(*by, "c0x", "c0y", "x", "y", "x0", "y0", "s0").join(lv, [*by, "c0x", "c0y"])
         fine = at.groupBy(*by, "c0x", "c0y", "clvl", _cell("x", "x0", F.col("clvl")).alias("fx"),
@@ -178,7 +180,7 @@ def _refine_levels(locs: DataFrame, by: list[str], per_cell: int, max_iter: int
         step = F.greatest(F.lit(1), F.ceil(F.log(4.0, F.col("fmax") / F.lit(float(per_cell))))).cast("int")
         bumped = worst.select(*by, "c0x", "c0y", F.when(F.col("fmax") > limit, F.least(F.lit(MAX_LEVEL), F.col("clvl") + step))
                               .otherwise(F.col("clvl")).alias("clvl"))
-        lv = bumped.checkpoint(eager=True)
+        lv = _ckpt(bumped)
     return lv
 RING_MAX = 4    # at most (2*4+1)^2 = 81 cells searched per location and round
 
@@ -206,7 +208,7 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
     locs = _locations(df, by, id_col, x, y)
     locs = locs.join(_group_cells(locs, by, per_cell), by)
     locs = locs.withColumns({"c0x": _cell("x", "x0", 0), "c0y": _cell("y", "y0", 0)})
-    locs = locs.checkpoint(eager=True)  # read by every step below: materialise once in the shared folder
+    locs = _ckpt(locs)  # read by every step below: materialise once in the shared folder
     cell_lvl = _refine_levels(locs, by, per_cell)
     # A location searches at the finest level of its 3x3 coarse neighbourhood:
     # finer cells only split counts, so every searched cell stays bounded.
@@ -229,7 +231,7 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
                        F.explode(F.array(*[F.lit(v) for v in levels])).alias("lvl"))
     data = data.select(*by, "lvl", "nbr_loc", F.col("x").alias("ox"), F.col("y").alias("oy"), "om",
                        _cell("x", "x0", F.col("lvl")).alias("ocx"), _cell("y", "y0", F.col("lvl")).alias("ocy"))
-    data = data.checkpoint(eager=True)
+    data = _ckpt(data)
 
     coarser = None  # next coarser level in use, as a CASE over the (few) levels
     for lo, hi in zip(levels, levels[1:]):
@@ -238,7 +240,7 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
 
     pending = locs.where(F.col("need") > 0).select(*by, "loc", "x", "y", "x0", "y0", "s0", "diag", "need", "lvl",
                                                   F.lit(1).alias("r"))
-    pending = pending.checkpoint(eager=True)
+    pending = _ckpt(pending)
     found = []
     for _ in range(max_rounds):
         if pending.isEmpty():
@@ -253,7 +255,7 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
         before = F.coalesce(F.sum("om").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         cand = cand.withColumn("take", F.least(F.col("om"), F.col("need") - before))
         # The one heavy step of the round (block join + ranking), written once.
-        taken = cand.where(F.col("take") > 0).select(*by, "loc", "nbr_loc", "dist", "take").checkpoint(eager=True)
+        taken = _ckpt(cand.where(F.col("take") > 0).select(*by, "loc", "nbr_loc", "dist", "take"))
         stat = taken.groupBy(*by, "loc").agg(F.sum("take").alias("got"), F.max("dist").alias("kd"))
         reach = F.col("r") * F.col("s0") / F.pow(F.lit(2.0), F.col("lvl"))
         judged = pending.withColumn("reach", reach).join(stat, [*by, "loc"], "left")
@@ -270,7 +272,7 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
                 F.ceil(F.col("r") * F.lit(2.0) * F.pow(F.lit(2.0), nxt - F.col("lvl"))).cast("int")),
             "lvl": F.when(widen, F.col("lvl")).otherwise(nxt),
         })
-        pending = left.select(*by, "loc", "x", "y", "x0", "y0", "s0", "diag", "need", "lvl", "r").checkpoint(eager=True)
+        pending = _ckpt(left.select(*by, "loc", "x", "y", "x0", "y0", "s0", "diag", "need", "lvl", "r"))
     nbrs = found[0]
     for f in found[1:]:
         nbrs = nbrs.unionByName(f)

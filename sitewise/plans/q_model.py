@@ -13,6 +13,7 @@ from sitewise.operators import model as MO
 from sitewise.operators import windows as WI
 from sitewise.plans import bindings as B
 from sitewise.plans.registry import r6, register
+from sitewise.session import checkpoint as _ckpt
 from sitewise.session import shared_path
 
 NUMERIC = ["o_totalprice", "c_acctbal", "region_code"]
@@ -36,7 +37,7 @@ def recipe():
 
 
 def train_test(s, d):
-    sp = split_sites(s, d).checkpoint(eager=True)
+    sp = _ckpt(split_sites(s, d))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 
@@ -148,7 +149,7 @@ register("select_best")(lambda s, d: MO.select_best(tune(s, d), "accuracy"))
 def nested_cv(s, d):
     """Outer folds by hash; inside each, a small tuning over inner folds,
     then the best point refitted and scored on the outer fold."""
-    o = WI.vfold_assign_hash(B.order_sites(s, d), "id", 3, 7, "outer").checkpoint(eager=True)
+    o = _ckpt(WI.vfold_assign_hash(B.order_sites(s, d), "id", 3, 7, "outer"))
     grid = MO.latin_hypercube(GRID_RANGES, 2, 123, integer=["mtry", "min_n"])
     rows = []
     for k in range(3):

@@ -51,3 +51,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables written between stages."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpoint(df):
+    """Reliable checkpoint into the shared folder (never a local checkpoint):
+    cuts the lineage so a lost executor does not recompute earlier stages."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
