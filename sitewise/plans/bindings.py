@@ -21,6 +21,7 @@ STATUS_LEVELS = ["functional", "functional needs repair", "non functional"]
 STATUS_CODES = {"F": "functional", "O": "functional needs repair", "P": "non functional"}
 
 
+SPREAD_CONF = "sitewise.scan.spreadSingleSplit"
 # Tables whose size is fixed by the schema's definition.
 FIXED_SIZE = {"nation", "region"}
 
@@ -32,7 +33,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     (many files and row groups) have more splits than cores and are left
     alone, so no extra shuffle appears at scale."""
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    if name in FIXED_SIZE:
+    if name in FIXED_SIZE or spark.conf.get(SPREAD_CONF, "true") != "true":
         return df
     par = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < par:
