@@ -96,7 +96,7 @@ def validate_region_param(s, d):
 def standardize_missing(s, d):
     doc = T(s, d, "documents")
     t = C.standardize_missing("text")
-    return doc.select("doc_id", F.md5(t).alias("text_md5"), F.length(t).alias("n_chars"),
+    return doc.select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("bigint").alias("n_chars"),
                       C.standardize_missing("lang").alias("lang"))
 
 
@@ -301,7 +301,7 @@ SQUISH = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', ''
 )
 def squish_strings(s, d):
     t = C.squish("text")
-    return T(s, d, "documents").select("doc_id", F.md5(t).alias("text_md5"), F.length(t).alias("n_chars"))
+    return T(s, d, "documents").select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("bigint").alias("n_chars"))
 
 
 @register(
