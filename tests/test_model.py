@@ -126,3 +126,14 @@ def test_report_parameter_checks(spark):
     df = spark.createDataFrame([("ASIA", "x")], "region string, s string")
     present, rejected = RP.batch_split(df, "region", ["ASIA", "Mars"])
     assert present.count() == 1 and [r["region"] for r in rejected.collect()] == ["Mars"]
+
+
+def test_fold_and_feature_counts(spark, separable):
+    """Number of distinct fold ids and number of features (report figures)."""
+    folds = WI.vfold_assign(separable, "y", "id", 5)
+    assert folds.select(F.countDistinct("fold")).first()[0] == 5
+    features = [c for c in separable.columns if c not in ("id", "y")]
+    assert len(separable.columns) - 2 == len(features) == 3
+    prep = _recipe().fit(separable)
+    width = prep.transform(separable).select("features").first()[0].size
+    assert width == 2 + 2 + 1  # two numeric, two levels of cat, plus the unseen-level slot
