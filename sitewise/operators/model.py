@@ -71,7 +71,9 @@ def feature_recipe(
     stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_out, handleInvalid="keep",
                                 stringOrderType="alphabetAsc"))
     oh_out = [f"{c}__oh" for c in categorical]
-    stages.append(OneHotEncoder(inputCols=idx_out, outputCols=oh_out, dropLast=False, handleInvalid="keep"))
+    # The indexer already gives unseen levels their own index (step_unknown),
+    # so the encoder needs no extra slot of its own.
+    stages.append(OneHotEncoder(inputCols=idx_out, outputCols=oh_out, dropLast=False, handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=num_d + oh_out, outputCol="features", handleInvalid="keep"))
     stages.append(StringIndexerModel.from_labels(list(levels), inputCol=label, outputCol="label", handleInvalid="keep"))
     return Pipeline(stages=stages)
