@@ -139,7 +139,7 @@ def clean_table(
     start_year: int | None = None,
     drop: Sequence[str] = (),
     impute_exclude: Sequence[str] = (),
-    age_col: str = "pump_age",
+    age_col: str = "asset_age",
     null_safe_key: bool = False,
     impute: bool = True,
     materialize: bool = True,
@@ -183,7 +183,7 @@ def clean_table(
 
 
 def clean_names_copy(df: DataFrame, drop: Sequence[str], text_cols: Sequence[str], recorded: str, installed: str,
-                     age_col: str = "pump_age") -> DataFrame:
+                     age_col: str = "asset_age") -> DataFrame:
     """Alternative clean: drop name columns, add lower/trim ``*_cleaned`` copies, age."""
     out = df.drop(*drop)
     out = out.withColumns({f"{c}_cleaned": C.clean_string(c) for c in text_cols})

@@ -26,7 +26,7 @@ def cleaned(spark, d, region="AFRICA", start_year=1996, impute=True):
     )
     if not impute:
         return df
-    return df.withColumns({"pump_age": r6("pump_age"), "l_discount": r6("l_discount")})
+    return df.withColumns({"asset_age": r6("asset_age"), "l_discount": r6("l_discount")})
 
 
 def clean_sql(region: str | None = "AFRICA", start_year: int | None = 1996) -> str:
@@ -37,7 +37,7 @@ def clean_sql(region: str | None = "AFRICA", start_year: int | None = 1996) -> s
     if start_year is not None:
         conds.append(f"o_orderdate >= DATE '{start_year}-01-01'")
     where = ("WHERE " + " AND ".join(conds)) if conds else ""
-    meds = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in NUM_COLS + ["pump_age"])
+    meds = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in NUM_COLS + ["asset_age"])
     return f"""
 v AS ({B.SITE_VALUES_SQL}),
 lab AS ({B.SITE_LABELS_SQL}),
@@ -47,7 +47,7 @@ j AS (
          COALESCE(v.region, 'Unknown') AS region, v.region_code, COALESCE(v.lga, 'Unknown') AS lga,
          COALESCE(v.ward, 'Unknown') AS ward, COALESCE(lab.status_group, 'Unknown') AS status_group,
          CAST(lab.o_orderdate AS DATE) AS o_orderdate, lab.o_totalprice,
-         CAST(date_diff('day', CAST(lab.o_orderdate AS DATE), CAST(v.l_shipdate AS DATE)) AS DOUBLE) / 365.25 AS pump_age
+         CAST(date_diff('day', CAST(lab.o_orderdate AS DATE), CAST(v.l_shipdate AS DATE)) AS DOUBLE) / 365.25 AS asset_age
   FROM v LEFT JOIN lab ON v.id = lab.id),
 f AS (SELECT * FROM j {where}),
 m AS (SELECT {meds} FROM f),
@@ -62,7 +62,7 @@ c AS (
          COALESCE(region_code, CAST(floor(m_region_code) AS INTEGER)) AS region_code,
          lga, ward, status_group, o_orderdate,
          COALESCE(o_totalprice, m_o_totalprice) AS o_totalprice,
-         round(CASE WHEN pump_age IS NULL OR pump_age < 0 THEN m_pump_age ELSE pump_age END, 6) AS pump_age
+         round(CASE WHEN asset_age IS NULL OR asset_age < 0 THEN m_asset_age ELSE asset_age END, 6) AS asset_age
   FROM f, m)"""
 
 
@@ -175,14 +175,14 @@ STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
     sql=f"""WITH v AS ({B.SITE_VALUES_SQL}), lab AS ({B.SITE_LABELS_SQL})
 SELECT v.id, v.l_linenumber, v.region, v.lga, v.ward, v.l_returnflag, v.l_shipdate, lab.o_orderdate,
        {", ".join(f"lower({STRIP.format(c='v.' + c)}) AS {c}_cleaned" for c in COPY_TEXT)},
-       round(CAST(date_diff('day', CAST(lab.o_orderdate AS DATE), CAST(v.l_shipdate AS DATE)) AS DOUBLE) / 365.25, 6) AS pump_age
+       round(CAST(date_diff('day', CAST(lab.o_orderdate AS DATE), CAST(v.l_shipdate AS DATE)) AS DOUBLE) / 365.25, 6) AS asset_age
 FROM v LEFT JOIN lab ON v.id = lab.id""",
 )
 def clean_names_copy(spark, d):
     j = CL.left_join(B.site_values(spark, d), B.site_labels(spark, d), ["id"])
     j = j.select("id", "l_linenumber", "region", "lga", "ward", "l_returnflag", "l_shipdate", "o_orderdate", "l_partkey")
     out = CL.clean_names_copy(j, ["l_partkey"], COPY_TEXT, "l_shipdate", "o_orderdate")
-    return out.withColumn("pump_age", r6("pump_age"))
+    return out.withColumn("asset_age", r6("asset_age"))
 
 
 LEDGER_COLS = ["l_discount", "l_quantity", "l_partkey", "l_linestatus", "region"]
