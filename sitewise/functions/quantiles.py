@@ -6,16 +6,17 @@ holds a third of 100 TB. The helpers here keep the same result (linear
 interpolation between order statistics, the rule of R's default quantile and
 of DuckDB's ``quantile_cont``) with bounded per-task state:
 
-1. collapse equal values to (value, count) -- a hot value becomes one row;
-2. cut every group into approximately equal-depth buckets with
-   ``percentile_approx`` (bounds only steer the work split, never the result);
-3. total each (group, bucket) -- a table of groups x buckets rows -- and turn
-   those totals into offsets with a window over that small table;
-4. rank inside each (group, bucket) with a window; the bucket is a slice of
-   the group, so a big group is spread over many tasks.
-
-The same two-level prefix sum serves the ROC curve, the rank-sum AUC and the
-row index used by permutation importance.
+* a group that fits one task -- checked with one small partial aggregate,
+  never guessed -- is ranked with one sort;
+* otherwise equal values are collapsed to (value, count) first (a hot value
+  becomes one row), the (group, value) keys are range-partitioned into slices
+  of bounded size (Spark's range partitioner: sampled bounds, binary search
+  per row), each (group, slice) is totalled into a small table whose running
+  sums give the offsets, and ranks are taken inside each (group, slice). A big
+  group is spread over many slices and tasks.
+
+The same prefix sum serves the ROC curve, the rank-sum AUC, stratified
+splits, folds and the row index used by permutation importance.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
 # Largest per-group row count handled by one task (a checked bound, not a
-# guess): below it a single window / Spark's exact percentile is used, above
-# it the two-level path. Overridable per session.
+# guess): below it a single window is used, above it the sliced path, whose
+# slices are also about this size. Overridable per session.
 LOCAL_MAX_CONF = "sitewise.quantile.maxRowsPerTask"
 DEFAULT_LOCAL_MAX = 2_000_000
+MAX_RANGE_PARTITIONS = 200_000
 
 
 def _local_max(df: DataFrame) -> int:
@@ -40,20 +41,17 @@ def _local_max(df: DataFrame) -> int:
         return DEFAULT_LOCAL_MAX
 
 
-def _largest_group(df: DataFrame, by: list[str]) -> int:
-    """Row count of the largest group (one small aggregate job)."""
+def _group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """(rows of the largest group, rows in total): one partial aggregate job."""
     if not by:
-        return df.count()
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()
-    return int(row[0] or 0)
+        n = df.count()
+        return n, n
+    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.sum("c")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
-def _bucket_bounds(df: DataFrame, order: str, by: list[str], n_buckets: int) -> DataFrame | Column:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    agg = F.percentile_approx(order, probs, 10000).alias("_bounds")
-    if by:
-        return df.groupBy(*by).agg(agg)
-    return df.agg(agg).scalar()
+def _group_window(by: list[str]) -> Window:
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
 def ordered_prefix(
@@ -62,43 +60,45 @@ def ordered_prefix(
     by: Sequence[str] = (),
     weight: str | None = None,
     descending: bool = False,
-    n_buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Add ``_cum`` (total weight of rows of the group whose order value is at
     or before this row's, ties included) and ``_n`` (group total weight).
 
-    ``order`` must be a non-null numeric column.
+    ``order`` must be a non-null numeric column. Callers pass rows with
+    distinct (group, order) keys -- values collapsed to counts, or unique
+    hash keys -- so no range slice can hold a hot key.
     """
+    from sitewise.session import checkpoint
+
     by = list(by)
     key = "_ord"
     base = df.withColumn(key, -F.col(order) if descending else F.col(order).cast("double"))
     w = F.col(weight) if weight else F.lit(1).cast("long")
-    if _largest_group(base, by) <= _local_max(base):
+    largest, total = _group_sizes(base, by)
+    local = _local_max(base)
+    wg = _group_window(by)
+    if largest <= local:
         # Every group fits one task (checked): one window per group.
-        wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         return base.withColumns({
             "_cum": F.sum(w).over(wg.orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)),
             "_n": F.sum(w).over(wg),
         }).drop(key)
-    bounds = _bucket_bounds(base, key, by, n_buckets)
-    if by:
-        # One row per group; AQE broadcasts it when small, shuffles otherwise.
-        b = base.join(bounds, by)
-    else:
-        b = base.withColumn("_bounds", bounds)
-    b = b.withColumn("_bkt", F.size(F.filter("_bounds", lambda x: x < F.col(key)))).drop("_bounds")
-    tot = b.groupBy(*by, "_bkt").agg(F.sum(w).alias("_bt"))
-    # At most groups x n_buckets rows: small enough for a per-group window.
-    wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    par = base.sparkSession.sparkContext.defaultParallelism
+    n_parts = int(min(MAX_RANGE_PARTITIONS, max(par, -(-2 * total // local))))
+    # The slice id is part of the data from here on; the checkpoint pins it so
+    # the totals and the ranks below read exactly the same slicing.
+    sliced = checkpoint(base.repartitionByRange(n_parts, *by, key).withColumn("_slice", F.spark_partition_id()))
+    tot = sliced.groupBy(*by, "_slice").agg(F.sum(w).alias("_bt"))
+    # About groups + n_parts rows: a per-group window over it is small.
     tot = tot.select(
         *by,
-        "_bkt",
-        F.coalesce(F.sum("_bt").over(wg.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        "_slice",
+        F.coalesce(F.sum("_bt").over(wg.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_bt").over(wg).alias("_n"),
     )
-    b = b.join(tot, [*by, "_bkt"])
-    wi = Window.partitionBy(*by, "_bkt").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return b.withColumn("_cum", F.col("_off") + F.sum(w).over(wi)).drop("_off", "_bkt", key)
+    b = sliced.join(tot, [*by, "_slice"])
+    wi = Window.partitionBy(*by, "_slice").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return b.withColumn("_cum", F.col("_off") + F.sum(w).over(wi)).drop("_off", "_slice", key)
 
 
 def exact_quantiles(
@@ -107,19 +107,19 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     by: Sequence[str] = (),
-    n_buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """One row per group with one column per probability (type-7 quantiles).
 
-    Missing values (null, NaN) are ignored; a group with no values is absent.
+    Missing values (null, NaN) are ignored; a group with no values is absent
+    (with no grouping: one row of nulls).
     """
     by = list(by)
     v = df.select(*by, F.col(value).cast("double").alias("_v"))
     v = v.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if _largest_group(v, by) <= _local_max(df):
+    if _group_sizes(v, by)[0] <= _local_max(df):
         # Every group's rows fit one task (checked): rank them with one sort
-        # per group; each row covers the single rank [rn, rn + 1).
-        wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        # per group; each row covers the single rank [rn - 1, rn).
+        wg = _group_window(by)
         ranked = v.withColumns({
             "_cum": F.row_number().over(wg.orderBy("_v")).cast("long"),
             "_n": F.count(F.lit(1)).over(wg),
@@ -127,7 +127,7 @@ def exact_quantiles(
         })
     else:
         counted = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
-        ranked = ordered_prefix(counted, "_v", by, weight="_w", n_buckets=n_buckets)
+        ranked = ordered_prefix(counted, "_v", by, weight="_w")
     # Row covers 0-based ranks [_cum - _w, _cum).
     lo_rank = F.col("_cum") - F.col("_w")
     hits, aggs = [], []
@@ -158,13 +158,12 @@ def columns_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     by: Sequence[str] = (),
-    n_buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Quantiles of many columns in one pass: long form keyed by ``variable``."""
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         list(by), list(cols), "variable", "value"
     )
-    return exact_quantiles(long, "value", probs, names, [*by, "variable"], n_buckets)
+    return exact_quantiles(long, "value", probs, names, [*by, "variable"])
 
 
 def medians_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -178,6 +177,6 @@ def median_struct(df: DataFrame, cols: Sequence[str]) -> Column:
     return medians_row(df, cols).select(F.struct(*[F.col(c) for c in cols]).alias("m")).scalar()
 
 
-def row_index(df: DataFrame, order: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def row_index(df: DataFrame, order: str) -> DataFrame:
     """Dense 0-based position of each row in the order of a unique numeric key."""
-    return ordered_prefix(df, order, n_buckets=n_buckets).withColumn("_pos", F.col("_cum") - 1).drop("_cum", "_n")
+    return ordered_prefix(df, order).withColumn("_pos", F.col("_cum") - 1).drop("_cum", "_n")

@@ -186,3 +186,31 @@ def test_auc_ties_and_missing_predictions(spark):
     assert m["precision"] is None  # level b is never predicted: precision undefined
     df2 = spark.createDataFrame([("a", 0.9), ("a", 0.4), ("b", 0.4), ("b", 0.1)], "truth string, s double")
     assert ME.binary_auc(df2, "truth", "s", "a").first()["auc"] == pytest.approx((1 + 0.5 + 1 + 1) / 4)
+
+
+def test_sliced_prefix_matches_single_task(spark):
+    from sitewise.operators import windows as WI
+
+    rng = np.random.default_rng(11)
+    rows = [(i, ["a", "b", "c"][int(rng.integers(0, 3))], float(np.round(rng.random(), 2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, truth string, s double")
+
+    def run():
+        split = sorted(WI.stratified_split(df, "truth", "id").select("id", "split").collect())
+        folds = sorted(WI.vfold_assign(df, "truth", "id", 5).select("id", "fold").collect())
+        auc = ME.binary_auc(df, "truth", "s", "a").first()["auc"]
+        roc = sorted((r["threshold"], r["sensitivity"], r["specificity"]) for r in ME.roc_points(df, "truth", "s", "a").collect())
+        idx = sorted(Q.row_index(df.withColumn("k", F.col("id").cast("double")), "k").select("id", "_pos").collect())
+        return split, folds, auc, roc, idx
+
+    single = run()
+    spark.conf.set(Q.LOCAL_MAX_CONF, "40")
+    try:
+        sliced = run()
+    finally:
+        spark.conf.unset(Q.LOCAL_MAX_CONF)
+    assert single[0] == sliced[0] and single[1] == sliced[1] and single[4] == sliced[4]
+    assert single[2] == pytest.approx(sliced[2], abs=1e-12)
+    flat = lambda rows: [v for r in rows for v in r]
+    assert flat(single[3]) == pytest.approx(flat(sliced[3]), abs=1e-12)
+    assert [p for _, p in single[4]] == list(range(600))
