@@ -186,7 +186,7 @@ RING_MAX = 4    # at most (2*4+1)^2 = 81 cells searched per location and round
 
 
 def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str = "x", y: str = "y",
-                  max_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+                  max_rounds: int = 80) -> tuple[DataFrame, DataFrame]:
     """Exact weighted k-nearest neighbours of every distinct location.
 
     Returns (locs, nbrs):
@@ -273,6 +273,11 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
             "lvl": F.when(widen, F.col("lvl")).otherwise(nxt),
         })
         pending = _ckpt(left.select(*by, "loc", "x", "y", "x0", "y0", "s0", "diag", "need", "lvl", "r"))
+    else:
+        # The searched distance doubles every round, so this is unreachable for
+        # finite coordinates; never return a partial neighbour table.
+        if not pending.isEmpty():
+            raise RuntimeError("kNN search did not cover every location")
     nbrs = found[0]
     for f in found[1:]:
         nbrs = nbrs.unionByName(f)
