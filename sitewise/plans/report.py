@@ -1,9 +1,8 @@
 """Report tables (R1-R5) and the shares they are built from.
 
-A report is a set of named DataFrames over one filtered input. A batch of
-regions is one job keyed by region, never a loop of jobs: every table below
-takes the grouping columns as an argument, and the national report is the
-same code with no region key.
+A report is one long table over one filtered input, built from a single
+rollup aggregate. A batch of regions is one job keyed by region, never a loop
+of jobs, and the national report is the same code with a constant region.
 """
 
 from __future__ import annotations
@@ -99,27 +98,36 @@ def batch_split(df: DataFrame, region_col: str, regions: Sequence[str]) -> tuple
 
 def report_long(df: DataFrame, region_col: str, level: str, date_col: str, target: str,
                 by_region: bool = True, overall_label: str = ALL_REGIONS) -> DataFrame:
-    """All report sections (R1-R3) as one long table.
+    """All report sections (R1-R3) as one long table from one pass.
 
-    The input is read once: a single aggregate at the finest grain (region x
-    level x year) shrinks it to a few hundred rows, and the headline share,
-    the class distribution and the install trend are all derived from that
-    small table. Columns: region, section, status_group, year, n, value."""
-    yr = F.year(date_col).cast("int").alias("year")
+    One ``rollup(region, level, year)`` aggregate gives the trend rows (full
+    key), the distribution rows (region x level) and the headline rows
+    (region) together, told apart by ``grouping_id()``; shares and the
+    headline percentage come from windows over that small result, keyed by
+    region. Columns: region, section, status_group, year, n, value."""
     reg = F.col(region_col) if by_region else F.lit(overall_label)
-    base = df.groupBy(reg.alias("region"), F.col(level).alias("status_group"), yr).agg(F.count(F.lit(1)).alias("n"))
+    d = df.select(reg.alias("region"), F.col(level).alias("status_group"), F.year(date_col).cast("int").alias("year"))
+    r = d.rollup("region", "status_group", "year").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    # gid bits: region 4, status 2, year 1 -> 0 trend, 1 distribution, 3 headline, 7 grand total.
+    r = r.where(F.col("gid").isin(0, 1, 3))
     w = Window.partitionBy("region")
-    head = base.groupBy("region").agg(
-        F.sum("n").alias("n"),
-        F.round(F.sum(F.when(F.col("status_group") == target, F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 6).alias("value"),
-    ).select("region", F.lit("headline").alias("section"), F.lit(None).cast("string").alias("status_group"),
-             F.lit(None).cast("int").alias("year"), "n", "value")
-    dist = base.groupBy("region", "status_group").agg(F.sum("n").alias("n"))
-    dist = dist.select("region", F.lit("distribution").alias("section"), "status_group", F.lit(None).cast("int").alias("year"),
-                       "n", F.round(F.col("n") / F.sum("n").over(w), 6).alias("value"))
-    trend = base.select("region", F.lit("trend").alias("section"), "status_group", "year", "n",
-                        F.lit(None).cast("double").alias("value"))
-    return head.unionByName(dist).unionByName(trend)
+    total = F.max(F.when(F.col("gid") == 3, F.col("n"))).over(w)
+    hit = F.max(F.when((F.col("gid") == 1) & (F.col("status_group") == target), F.col("n"))).over(w)
+    r = r.withColumns({"_total": total, "_hit": F.coalesce(hit, F.lit(0))})
+    section = F.when(F.col("gid") == 0, "trend").when(F.col("gid") == 1, "distribution").otherwise("headline")
+    value = (
+        F.when(F.col("gid") == 3, F.round(F.col("_hit") * 100.0 / F.col("_total"), 6))
+        .when(F.col("gid") == 1, F.round(F.col("n") / F.col("_total"), 6))
+        .otherwise(F.lit(None).cast("double"))
+    )
+    return r.select(
+        "region",
+        section.alias("section"),
+        F.when(F.col("gid") <= 1, F.col("status_group")).cast("string").alias("status_group"),
+        F.when(F.col("gid") == 0, F.col("year")).cast("int").alias("year"),
+        "n",
+        value.alias("value"),
+    )
 
 
 def risk_strata(df: DataFrame, score: str, out: str = "stratum") -> DataFrame:
