@@ -137,3 +137,18 @@ def test_fold_and_feature_counts(spark, separable):
     prep = _recipe().fit(separable)
     width = prep.transform(separable).select("features").first()[0].size
     assert width == 2 + 2 + 1  # two numeric, two levels of cat, plus the unseen-level slot
+
+
+def test_report_rollup_keeps_real_nulls(spark):
+    import datetime as dt
+
+    rows = [("r1", "bad", dt.date(2001, 1, 1)), ("r1", "ok", dt.date(2001, 1, 1)), ("r1", None, dt.date(2002, 1, 1)),
+            ("r2", "ok", dt.date(2001, 5, 1))]
+    df = spark.createDataFrame(rows, "region string, s string, d date")
+    out = RP.report_long(df, "region", "s", "d", "bad").collect()
+    got = {(r["region"], r["section"], r["status_group"], r["year"]): (r["n"], r["value"]) for r in out}
+    assert got[("r1", "headline", None, None)] == (3, pytest.approx(100 / 3, abs=1e-6))
+    assert got[("r1", "distribution", None, None)] == (1, pytest.approx(1 / 3, abs=1e-6))
+    assert got[("r1", "trend", None, 2002)] == (1, None)
+    assert got[("r2", "headline", None, None)] == (1, 0.0)
+    assert len(out) == (1 + 3 + 3) + (1 + 1 + 1)
