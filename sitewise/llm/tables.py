@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +20,12 @@ def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys where null matches null; the right side's keys are dropped."""
+    right = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(right, on, how).drop(*[f"_right_{k}" for k in keys])
