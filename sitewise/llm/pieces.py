@@ -11,8 +11,8 @@ side. The class proves from the vocabulary that none holds U+2581 after another
 character, and whether the line feed is alone, and cuts the text there; equal
 chunks then have equal ids and are kept in a bounded table.
 
-Every chunk that enters the table is checked against the sentencepiece library,
-all of a batch in one call, as is one whole text per batch; a difference raises.
+Every chunk that is encoded is checked against the sentencepiece library, all of
+a text in one call, as is one whole text per batch; a difference raises.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEEP = 300_000  # chunks held by a worker; the table is emptied beyond it
+KEEP = 300_000  # chunks in each of a worker's two generations
 
 
 class MergeEncoder:
@@ -54,7 +55,10 @@ class MergeEncoder:
         self.cuts = not any(b == SPACE != a for a, b in pairs)
         alone = not any("\n" in p for p in pairs) and self.cuts
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.cuts else "(?s:.+)")
-        self.table: dict[str, tuple[tuple[int, ...], str]] = {}
+        # chunk -> ids, and the ids as text; the older generation is dropped when the newer is full
+        self.ids: dict[str, tuple[int, ...]] = {}
+        self.shown: dict[str, str] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.eos = sp.eos_id()
 
     def merge(self, chunk: str) -> tuple[int, ...]:
@@ -106,56 +110,43 @@ class MergeEncoder:
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, wanted: set[str]) -> None:
-        """Encodes chunks and checks them against the library in one call."""
-        new = [c for c in wanted if c not in self.table]
-        if not new:
-            return
-        if len(self.table) + len(new) > self.keep:
-            self.table.clear()
-            new = list(wanted)
+    def learn(self, missing: set[str]) -> None:
+        """Puts chunks into the table; those of neither generation are encoded
+        and checked against the library in one call."""
+        if len(self.ids) + len(missing) > self.keep:
+            self.old, self.ids, self.shown = self.ids, {}, {}
+        new = [c for c in missing if c not in self.old]
+        for c in missing.difference(new):
+            self.ids[c] = self.old[c]
         mine = [self.merge(c) for c in new]
-        if self.cuts:
+        if self.cuts and new:
             # a line feed before the chunk keeps the library's own first space apart from it
             head = len(self.lib.encode("\n"))
             theirs = [tuple(x[head:]) for x in self.lib.encode(["\n" + c for c in new], num_threads=1)]
             if theirs != mine:
                 bad = next(c for c, a, b in zip(new, mine, theirs, strict=True) if a != b)
                 raise ValueError(f"differs from the library on {bad!r}")
-        for c, ids in zip(new, mine, strict=True):
-            self.table[c] = (ids, " ".join(map(str, ids)))
+        self.ids.update(zip(new, mine, strict=True))
+        self.shown.update((c, " ".join(map(str, self.ids[c]))) for c in missing)
+
+    def encode_text(self, text: str) -> tuple[list[int], str]:
+        """(ids with the end id, the ids as text) of one text."""
+        chunks = self.chunks(text)
+        if missing := set(chunks).difference(self.ids):
+            if len(self.ids) + len(missing) > self.keep:
+                missing = set(chunks)  # the generations change: all of this text's chunks go to the new one
+            self.learn(missing)
+        ids = list(chain.from_iterable(map(self.ids.__getitem__, chunks)))
+        ids.append(self.eos)
+        return ids, " ".join([*map(self.shown.__getitem__, chunks), str(self.eos)])
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """(ids with the end id, the ids as text) of each text."""
-        step = max(1, self.keep // 2)
-        held: list[list[str]] = []
-        wanted: set[str] = set()
-        end = str(self.eos)
-
-        def flush():
-            self.learn(wanted)
-            table = self.table
-            for chunks in held:
-                ids: list[int] = []
-                shown = []
-                for c in chunks:
-                    a, b = table[c]
-                    ids += a
-                    shown.append(b)
-                ids.append(self.eos)
-                shown.append(end)
-                yield ids, " ".join(shown)
-
+        """encode_text of each; the library encodes the first text as well."""
         for i, text in enumerate(texts):
-            chunks = self.chunks(text)
-            held.append(chunks)
-            wanted.update(chunks)
-            if i == 0 and self.lib.encode(text) != [x for c in chunks for x in self.merge(c)]:
+            out = self.encode_text(text)
+            if i == 0 and self.lib.encode(text) != out[0][:-1]:
                 raise ValueError("differs from the library on a whole text")
-            if len(wanted) >= step or len(held) >= 500:
-                yield from flush()
-                held, wanted = [], set()
-        yield from flush()
+            yield out
 
 
 _worker: dict[str, MergeEncoder] = {}
