@@ -5,8 +5,8 @@ have ordered thresholds: P(grade > j) = sigmoid(w.x - t_j). The expected grade
 is the sum of these tails; a document is selected when the tail probability of
 the wanted grade reaches a level.
 
-Features (binary, hashed into ``BUCKETS`` slots): letter words, runs of
-symbols, and steps of whole-text statistics: share of capitals, symbols, digits,
+Features (binary, hashed into ``BUCKETS`` slots): letter words, the runs of
+``GRAM`` bytes inside them, runs of symbols, and steps of whole-text statistics: share of capitals, symbols, digits,
 repeated words and repeated lines, mean word length, number of words.
 
 The model is fitted on at most ``FIT_ROWS`` labelled rows (the smallest hashes
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from sitewise.llm.textbytes import WHITE, byte_tables, mix, text_chunks, words
 
 BUCKETS = 1 << 18
+GRAM = 4
 FIT_ROWS = 8000
-MIN_ROWS = 3
-STEPS = 400
+MIN_ROWS = 20
+STEPS = 100
 
 _ALNUM = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -57,9 +58,30 @@ def _per_text(counts: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
 
 
+def _grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the runs of GRAM letter bytes, and their number in each text."""
+    n = len(buf) - GRAM + 1
+    if n <= 0:
+        return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+    values, stop = WORDS
+    v, bad = values[buf], stop[buf]
+    h, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+    for j in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + v[j : j + n]
+        ok &= ~bad[j : j + n]
+    # not across the end of a text
+    for j in range(1, GRAM):
+        edge = offsets[1:-1] - j
+        ok[edge[(edge >= 0) & (edge < n)]] = False
+    at = np.flatnonzero(ok)
+    slots = (mix(h[at] + np.uint64(3)) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    return slots, np.searchsorted(at, offsets[1:]) - np.searchsorted(at, offsets[:-1])
+
+
 def features(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct feature slots of each text of a chunk."""
     w, wn, _ = words(buf, offsets, WORDS)
+    gram, gn = _grams(buf, offsets)
     s, sn, _ = words(buf, offsets, SYMBOLS)
     t, tn, _ = words(buf, offsets, TOKENS)
     ln, lnn, _ = words(buf, offsets, LINES)
@@ -69,8 +91,9 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     k = _KIND[buf]
     for i in range(1, 4):
         np.cumsum(k == i, out=kinds[i, 1:])
-    out = []
+    out, grams = [], _per_text(gn)
     for i, (a, b, c, d) in enumerate(zip(_per_text(wn), _per_text(sn), _per_text(tn), _per_text(lnn), strict=True)):
+        e = grams[i]
         lo, hi = int(offsets[i]), int(offsets[i + 1])
         n = max(1, hi - lo)
         nt, nl = c.stop - c.start, d.stop - d.start
@@ -83,7 +106,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         ]
         stat = mix(np.array([(j + 1) * 1000 + int(x) for j, x in enumerate(stats)], dtype=np.uint64))
         stat = (stat & np.uint64(BUCKETS - 1)).astype(np.int32)
-        out.append(np.unique(np.concatenate([slot_w[a], slot_s[b], stat])))
+        out.append(np.unique(np.concatenate([slot_w[a], gram[e], slot_s[b], stat])))
     return out
 
 
@@ -101,7 +124,7 @@ class OrdinalModel:
         return np.array([self.weights[x].sum() for x in slots])
 
 
-def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = STEPS, l2: float = 0.02) -> OrdinalModel:
+def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = STEPS, l2: float = 40.0) -> OrdinalModel:
     """Penalised maximum likelihood by full-batch Adam steps."""
     sizes = np.array([len(x) for x in slots])
     flat = np.concatenate(slots)
@@ -113,6 +136,16 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = S
     idx = new[flat]
     row, idx = row[idx >= 0], idx[idx >= 0]
     n, m = len(slots), len(use)
+    # A feature's value is its strongest log odds over the grade cuts, so the
+    # penalty falls on features that tell the grades apart the least.
+    value = np.zeros(m)
+    for j in range(levels - 1):
+        high = (grades > j)[row]
+        a, b = np.bincount(idx[high], minlength=m), np.bincount(idx[~high], minlength=m)
+        na, nb = (grades > j).sum(), (grades <= j).sum()
+        if na and nb:
+            value = np.maximum(value, np.abs(np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))))
+    each = value[idx]
     share = np.array([(grades > j).mean() for j in range(levels - 1)]).clip(1e-4, 1 - 1e-4)
     first = -np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(first), 0.1))
@@ -121,7 +154,7 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = S
     for step in range(1, steps + 1):
         w, t0, g = par[:m], par[m], par[m + 1 :]
         t = t0 + np.concatenate([[0.0], np.cumsum(np.exp(g))])
-        score = np.bincount(row, weights=w[idx], minlength=n)
+        score = np.bincount(row, weights=w[idx] * each, minlength=n)
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -50, 50)))
         # P(grade) is the difference of neighbouring tails
         full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
@@ -134,12 +167,12 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = S
         np.add.at(d_t, grades + 1, -down / p / n)
         d_t = d_t[1:levels]
         rest = np.cumsum(d_t[::-1])[::-1]
-        grad = np.concatenate([np.bincount(idx, weights=d_score[row], minlength=m) + l2 / n * w, rest[:1], rest[1:] * np.exp(g)])
+        grad = np.concatenate([np.bincount(idx, weights=d_score[row] * each, minlength=m) + l2 / n * w, rest[:1], rest[1:] * np.exp(g)])
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         par = par - 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     weights = np.zeros(BUCKETS, dtype=np.float32)
-    weights[use] = par[:m]
+    weights[use] = par[:m] * value
     return OrdinalModel(weights, par[m] + np.concatenate([[0.0], np.cumsum(np.exp(par[m + 1 :]))]))
 
 
