@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.textbytes import WHITE, byte_tables, mix, text_chunks, words
+from sitewise.llm.textbytes import LETTER_TABLES, WHITE, byte_tables, mix, text_chunks, words
 
 BUCKETS = 1 << 18
 GRAM = 4
@@ -36,10 +36,7 @@ MIN_ROWS = 20
 STEPS = 100
 
 _ALNUM = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
-_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
-_NOT_LETTER = bytes(b for b in range(256) if b not in _LETTERS)
 _NOT_SYMBOL = bytes(b for b in range(256) if b in WHITE or b in _ALNUM or b >= 128 or b < 32 or b == 127)
-WORDS = byte_tables(_NOT_LETTER)
 SYMBOLS = byte_tables(_NOT_SYMBOL)
 TOKENS = byte_tables(WHITE)
 LINES = byte_tables(b"\n", lower=False)
@@ -63,7 +60,7 @@ def _grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(buf) - GRAM + 1
     if n <= 0:
         return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-    values, stop = WORDS
+    values, stop = LETTER_TABLES
     v, bad = values[buf], stop[buf]
     h, ok = np.zeros(n, np.uint64), np.ones(n, bool)
     for j in range(GRAM):
@@ -80,7 +77,7 @@ def _grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct feature slots of each text of a chunk."""
-    w, wn, _ = words(buf, offsets, WORDS)
+    w, wn, _ = words(buf, offsets, LETTER_TABLES)
     gram, gn = _grams(buf, offsets)
     s, sn, _ = words(buf, offsets, SYMBOLS)
     t, tn, _ = words(buf, offsets, TOKENS)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import chat, decontaminate, ordinal, pieces, sharding, winnowing
+from sitewise.llm import chat, decontaminate, ordinal, pieces, pii, sharding, winnowing
 from sitewise.llm.tables import read, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_chat(spark, sf_dir):
     return chat.digests(out)
 
 
+@query
+def op4_pii(spark, sf_dir):
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -55,7 +60,7 @@ def op7_sentencepiece(spark, sf_dir):
 
 @query
 def op10_quality(spark, sf_dir):
-    """Grade 2 (good and not toxic) is wanted with probability 0.5 or more."""
+    """Grade 2 (good and not toxic) is wanted with probability 0.65 or more."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = ordinal.fit_documents(docs, ordinal.ratings_of(read(spark, sf_dir, "labels")), levels=3)
-    return ordinal.score_documents(docs, model, keep_grade=2).drop("text")
+    return ordinal.score_documents(docs, model, keep_grade=2, level=0.65).drop("text")

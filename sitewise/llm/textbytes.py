@@ -69,6 +69,8 @@ def byte_tables(separators: bytes, lower: bool = True) -> tuple[np.ndarray, np.n
 
 
 WORD_TABLES = byte_tables(WHITE)
+# Letter words: runs of a-z (A-Z lower-cased) and of bytes of other characters.
+LETTER_TABLES = byte_tables(bytes(b for b in range(128) if not (65 <= b < 91 or 97 <= b < 123)))
 
 
 def text_chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
