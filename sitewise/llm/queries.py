@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import chat, decontaminate, ordinal, pieces, pii, sharding, winnowing
+from sitewise.llm import chat, decontaminate, hmm, ordinal, pieces, pii, sharding, winnowing
 from sitewise.llm.tables import read, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op7_sentencepiece(spark, sf_dir):
     return pieces.encode_digests(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@query
+def op8_hmm(spark, sf_dir):
+    return hmm.train_and_score(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality(spark, sf_dir):
     """Grade 2 (good and not toxic) is wanted with probability 0.65 or more."""
