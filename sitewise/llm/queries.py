@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import chat, decontaminate, hmm, ordinal, pieces, pii, sharding, winnowing
+from sitewise.llm import chat, decontaminate, hmm, ngram_join, ordinal, pieces, pii, sharding, winnowing
 from sitewise.llm.tables import read, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op4_pii(spark, sf_dir):
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.link_documents(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
