@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import chat, decontaminate, hmm, ngram_join, ordinal, pieces, pii, sharding, winnowing
+from sitewise.llm import chat, decontaminate, hmm, ngram_join, ordinal, pieces, pii, secrets_forest, sharding, winnowing
 from sitewise.llm.tables import read, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,12 @@ def op8_hmm(spark, sf_dir):
     return hmm.train_and_score(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_secrets(spark, sf_dir):
+    found = secrets_forest.scan(read(spark, sf_dir, "documents"))
+    return secrets_forest.classify(found, secrets_forest.label_by_form(found))
+
+
 @query
 def op10_quality(spark, sf_dir):
     """Grade 2 (good and not toxic) is wanted with probability 0.65 or more."""
