@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.tables import match
+from sitewise.llm.tables import fresh, match
 from sitewise.session import checkpoint
 
 WINDOW = 10
@@ -72,6 +72,10 @@ def _windows(w: Column, length: int) -> Column:
         i.alias("s"), F.lit(length).alias("n"), F.array_join(F.slice(w, i + 1, length), " ").alias("t")))
 
 
+def _windows_of(length: int):
+    return lambda w: _windows(w, length)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per distinct (doc_id, text): n_words, hit spans (word positions,
     end exclusive), n_hit, items (sorted as strings) and contaminated."""
@@ -100,7 +104,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     spans = some.select(*KEY, F.explode(_let(words(F.col("_text")), lambda w: _let(fingerprints(w, window), lambda m: F.filter(
         _windows(w, window), lambda x: F.array_contains(F.col("_found"), F.get(m, x["s"])))))).alias("x"))
     for n in lengths:
-        spans = spans.unionByName(rows.select(*KEY, F.explode(_let(words(F.col("_text")), lambda w, n=n: _windows(w, n))).alias("x")))
+        spans = spans.unionByName(rows.select(*KEY, F.explode(_let(words(F.col("_text")), _windows_of(n))).alias("x")))
     spans = spans.select("doc_id", "_row", F.col("x.s").alias("_s"), F.col("x.n").alias("_n"), F.col("x.t").alias("_t"))
     hit = spans.join(texts.select("_t", "_n").distinct(), ["_t", "_n"], "left_semi")
     per = checkpoint(hit.groupBy("doc_id", "_row").agg(
@@ -133,8 +137,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without a shared window; all columns are kept."""
-    found = hits(docs, benchmark, window).where("contaminated").select(*KEY)
-    return match(docs.withColumn("_row", _row_key(F.col("text"))), found, KEY, "left_anti").drop("_row")
+    row = fresh(docs, "_row")
+    found = hits(docs, benchmark, window).where("contaminated").select("doc_id", F.col("_row").alias(row))
+    return match(docs.withColumn(row, _row_key(F.col("text"))), found, ["doc_id", row], "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

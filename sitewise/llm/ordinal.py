@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.llm.tables import fresh
 from sitewise.llm.textbytes import LETTER_TABLES, WHITE, byte_tables, mix, text_chunks, words
 
 BUCKETS = 1 << 18
@@ -193,17 +194,20 @@ def fit_documents(docs: DataFrame, ratings: DataFrame, levels: int, rows: int =
     return fit([x for _, x in got], np.array([g for g, _ in got]), levels)
 
 
-def score_documents(docs: DataFrame, model: OrdinalModel | None, keep_grade: int, level: float = 0.5) -> DataFrame:
-    """Adds expected_grade, tail_probability (of ``keep_grade`` or better) and
-    selected; input columns of these names are replaced."""
-    docs = docs.drop("expected_grade", "tail_probability", "selected")
+OUT = ("expected_grade", "tail_probability", "selected")
+
+
+def score_documents(docs: DataFrame, model: OrdinalModel | None, keep_grade: int, level: float = 0.5, out: tuple[str, str, str] = OUT) -> DataFrame:
+    """Adds the expected grade, the tail probability (of ``keep_grade`` or
+    better) and whether the row is selected; input columns of these names are
+    replaced."""
+    docs = docs.drop(*out)
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.withColumns({"expected_grade": none, "tail_probability": none, "selected": F.lit(True)})
+        return docs.withColumns({out[0]: none, out[1]: none, out[2]: F.lit(True)})
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("expected_grade", DoubleType()),
-                         StructField("tail_probability", DoubleType()), StructField("selected", BooleanType())])
+    schema = StructType([*docs.schema.fields, *(StructField(c, t()) for c, t in zip(out, (DoubleType, DoubleType, BooleanType), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,11 +215,17 @@ def score_documents(docs: DataFrame, model: OrdinalModel | None, keep_grade: int
             tails = model.tails(np.concatenate(scores) if scores else np.empty(0))
             tail = tails[:, keep_grade - 1] if keep_grade > 0 else np.ones(len(tails))
             more = [pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= level)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "expected_grade", "tail_probability", "selected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *out])
 
     return docs.mapInArrow(run, schema)
 
 
+def select_documents(docs: DataFrame, model: OrdinalModel | None, keep_grade: int, level: float = 0.5) -> DataFrame:
+    """The rows that score_documents selects, with their columns as they are."""
+    out = tuple(fresh(docs, c) for c in OUT)
+    return score_documents(docs, model, keep_grade, level, out).where(F.col(out[2])).select(*docs.columns)
+
+
 def ratings_of(labels: DataFrame) -> DataFrame:
     """Grade of a labelled document: one point for quality, one for not being
     toxic, so 2 is good, 1 is junk or toxic, 0 is both. A null label gives none."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.gate import Gate, gate, passes
-from sitewise.llm.tables import match
+from sitewise.llm.tables import fresh, match
 from sitewise.llm.textbytes import LETTER_TABLES, text_chunks, words
 from sitewise.session import checkpoint
 
@@ -277,17 +277,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Only texts that have spans pass the gate into the join; all others go on
     as they are without being moved."""
+    row, may, listed = (fresh(docs, c) for c in ("_row", "_may", "_spans"))
     found = spans(docs).where((F.col("base") != "") | (F.col("added") != ""))
-    found = checkpoint(found.select("_row", F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "added")]).alias("_spans")).distinct())
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    keyed = keyed.withColumn("_may", passes(docs, F.col("_row"), gate(found, "_row")))
+    found = checkpoint(found.select(
+        F.col("_row").alias(row), F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "added")]).alias(listed)).distinct())
+    keyed = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    keyed = keyed.withColumn(may, passes(docs, F.col(row), gate(found, row)))
 
     @F.pandas_udf("string")
     def rewritten(t, s):
         return t.combine(s, lambda x, y: rewrite(x, y) if isinstance(x, str) and isinstance(y, str) else x)
 
-    hit = match(keyed.where("_may"), found, ["_row"]).withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        rewritten("text", "_spans")))
+    hit = match(keyed.where(F.col(may)), found, [row]).withColumn(
+        "text", F.when(F.col(listed).isNull(), F.col("text")).otherwise(rewritten("text", listed)))
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return keyed.where(~F.col("_may")).select(*docs.columns).unionByName(hit.select(*docs.columns))
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        hit = hit.withColumn("n_chars", F.when(F.col(listed).isNull(), F.col("n_chars")).otherwise(size))
+    return keyed.where(~F.col(may)).select(*docs.columns).unionByName(hit.select(*docs.columns))

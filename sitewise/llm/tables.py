@@ -29,3 +29,11 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
     return left.join(right, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
