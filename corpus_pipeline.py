@@ -21,13 +21,13 @@ from sitewise.session import shared_path
 ORACLE_SQL = None
 
 WANTED_GRADE = 2  # good and not toxic
-LEVEL = 0.65  # least probability of the wanted grade
+LEVEL = 0.6  # least probability of the wanted grade
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of the wanted grade is below LEVEL."""
     model = ordinal.fit_documents(docs, ordinal.ratings_of(read(spark, sf_dir, "labels")), levels=WANTED_GRADE + 1)
-    return ordinal.score_documents(docs, model, WANTED_GRADE, LEVEL).where("selected").select(*docs.columns)
+    return ordinal.select_documents(docs, model, WANTED_GRADE, LEVEL)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ repeated words and repeated lines, mean word length, number of words.
 
 The model is fitted on at most ``FIT_ROWS`` labelled rows (the smallest hashes
 of doc_id, a documented bound); features of fewer than ``MIN_ROWS`` of them
-have no weight. Scoring covers every row and whole texts.
+or with small odds have no weight. Scoring covers every row and whole texts.
 
 Defined cases: a null text is empty; a null grade is not used; several labels
 of a document all count; a level that no label has gets an empty interval; no
@@ -32,9 +32,10 @@ from sitewise.llm.textbytes import LETTER_TABLES, WHITE, byte_tables, mix, text_
 
 BUCKETS = 1 << 18
 GRAM = 4
-FIT_ROWS = 8000
+FIT_ROWS = 12000
 MIN_ROWS = 20
 STEPS = 100
+LEAST_ODDS = 0.2
 
 _ALNUM = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
 _NOT_SYMBOL = bytes(b for b in range(256) if b in WHITE or b in _ALNUM or b >= 128 or b < 32 or b == 127)
@@ -124,27 +125,27 @@ class OrdinalModel:
 
 def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = STEPS, l2: float = 40.0) -> OrdinalModel:
     """Penalised maximum likelihood by full-batch Adam steps."""
-    sizes = np.array([len(x) for x in slots])
+    n, cuts = len(slots), range(levels - 1)
     flat = np.concatenate(slots)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in slots])
+    # A feature's value is its strongest log odds over the grade cuts, so the
+    # penalty falls most on features that hardly tell the grades apart; those
+    # below LEAST_ODDS are left out.
     seen = np.bincount(flat, minlength=BUCKETS)
-    use = np.flatnonzero(seen >= min(MIN_ROWS, len(slots)))
-    new = np.full(BUCKETS, -1)
-    new[use] = np.arange(len(use))
-    row = np.repeat(np.arange(len(slots)), sizes)
+    odds = np.zeros(BUCKETS)
+    for j in cuts:
+        high = grades > j
+        if high.any() and not high.all():
+            a = np.bincount(flat[high[row]], minlength=BUCKETS)
+            odds = np.maximum(odds, np.abs(np.log((a + 0.5) / (high.sum() + 1)) - np.log((seen - a + 0.5) / (n - high.sum() + 1))))
+    use = np.flatnonzero((seen >= min(MIN_ROWS, n)) & (odds >= LEAST_ODDS))
+    m, value = len(use), odds[use]
+    new = np.full(BUCKETS, -1, dtype=np.int32)
+    new[use] = np.arange(m)
     idx = new[flat]
     row, idx = row[idx >= 0], idx[idx >= 0]
-    n, m = len(slots), len(use)
-    # A feature's value is its strongest log odds over the grade cuts, so the
-    # penalty falls on features that tell the grades apart the least.
-    value = np.zeros(m)
-    for j in range(levels - 1):
-        high = (grades > j)[row]
-        a, b = np.bincount(idx[high], minlength=m), np.bincount(idx[~high], minlength=m)
-        na, nb = (grades > j).sum(), (grades <= j).sum()
-        if na and nb:
-            value = np.maximum(value, np.abs(np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))))
     each = value[idx]
-    share = np.array([(grades > j).mean() for j in range(levels - 1)]).clip(1e-4, 1 - 1e-4)
+    share = np.array([(grades > j).mean() for j in cuts]).clip(1e-4, 1 - 1e-4)
     first = -np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(first), 0.1))
     par = np.concatenate([np.zeros(m), first[:1], gaps])
@@ -186,9 +187,9 @@ def fit_documents(docs: DataFrame, ratings: DataFrame, levels: int, rows: int =
     some = some.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "grade").limit(rows)
     # at most `rows` rows of two numbers: bounded by the parameter
     data = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("grade", "text")
-    got = data.mapInArrow(_slots, "grade int, slots binary").collect()
-    got = [(r["grade"], np.frombuffer(bytes(r["slots"]), dtype=np.int32)) for r in got]
-    got = sorted(((g, x) for g, x in got if len(x)), key=lambda r: (r[0], r[1].tobytes()))
+    table = data.mapInArrow(_slots, "grade int, slots binary").toArrow()
+    got = zip(table.column("grade").to_pylist(), (x.as_buffer() for x in table.column("slots")), strict=True)
+    got = sorted(((g, np.frombuffer(x, dtype=np.int32)) for g, x in got if x.size), key=lambda r: (r[0], len(r[1]), int(r[1].sum(dtype=np.int64))))
     if not got:
         return None
     return fit([x for _, x in got], np.array([g for g, _ in got]), levels)

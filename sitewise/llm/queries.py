@@ -76,7 +76,7 @@ def op9_secrets(spark, sf_dir):
 
 @query
 def op10_quality(spark, sf_dir):
-    """Grade 2 (good and not toxic) is wanted with probability 0.65 or more."""
+    """Grade 2 (good and not toxic) is wanted with probability 0.6 or more."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = ordinal.fit_documents(docs, ordinal.ratings_of(read(spark, sf_dir, "labels")), levels=3)
-    return ordinal.score_documents(docs, model, keep_grade=2, level=0.65).drop("text")
+    return ordinal.score_documents(docs, model, keep_grade=2, level=0.6).drop("text")
