@@ -33,7 +33,7 @@ from sitewise.llm.textbytes import LETTER_TABLES, WHITE, byte_tables, mix, text_
 BUCKETS = 1 << 18
 GRAM = 4
 FIT_ROWS = 12000
-MIN_ROWS = 20
+MIN_ROWS = 5
 STEPS = 100
 LEAST_ODDS = 0.2
 
