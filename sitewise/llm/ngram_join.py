@@ -84,6 +84,13 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: Python objects of one slice at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 # ------------------------------------------------------------------ sketch
 
 
@@ -141,7 +148,7 @@ def _sets(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = counts.value
         shift = _U(64 - (SLOTS.bit_length() - 1))
-        for batch in batches:
+        for batch in _slices(batches):
             out = {c: [] for c in _SETS_ARROW.names}
             docs = batch.column("doc_id").to_pylist()
             at = 0
@@ -301,7 +308,7 @@ def _pairs(out1, out2) -> pa.RecordBatch:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one = lambda t: shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
     last, s = None, None
-    for batch in batches:
+    for batch in _slices(batches):
         keep_a, keep_b = [], []
         for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
             if last != ta:
