@@ -6,14 +6,13 @@ holds a third of 100 TB. The helpers here keep the same result (linear
 interpolation between order statistics, the rule of R's default quantile and
 of DuckDB's ``quantile_cont``) with bounded per-task state:
 
-* a group that fits one task -- checked with one small partial aggregate,
-  never guessed -- is ranked with one sort;
-* otherwise equal values are collapsed to (value, count) first (a hot value
-  becomes one row), the (group, value) keys are range-partitioned into slices
-  of bounded size (Spark's range partitioner: sampled bounds, binary search
-  per row), each (group, slice) is totalled into a small table whose running
-  sums give the offsets, and ranks are taken inside each (group, slice). A big
-  group is spread over many slices and tasks.
+* equal values are collapsed to (value, count), so a hot value becomes one row;
+* the (group, value) keys are range-partitioned into slices (Spark's range
+  partitioner: sampled bounds, binary search per row), each (group, slice) is
+  totalled into a small table whose running sums give the offsets, and ranks
+  are taken inside each (group, slice). A big group is spread over many slices
+  and tasks, a small one lies in one. There is one path for all sizes, and a
+  null group is a group like any other.
 
 The same prefix sum serves the ROC curve, the rank-sum AUC, stratified
 splits, folds and the row index used by permutation importance.
@@ -26,79 +25,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest per-group row count handled by one task (a checked bound, not a
-# guess): below it a single window is used, above it the sliced path, whose
-# slices are also about this size. Overridable per session.
-LOCAL_MAX_CONF = "sitewise.quantile.maxRowsPerTask"
-DEFAULT_LOCAL_MAX = 2_000_000
-MAX_RANGE_PARTITIONS = 200_000
-
-
-def _local_max(df: DataFrame) -> int:
-    try:
-        return int(df.sparkSession.conf.get(LOCAL_MAX_CONF, str(DEFAULT_LOCAL_MAX)))
-    except Exception:  # noqa: BLE001
-        return DEFAULT_LOCAL_MAX
-
-
-def _group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in total): one partial aggregate job."""
-    if not by:
-        n = df.count()
-        return n, n
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.sum("c")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
 def _group_window(by: list[str]) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
 def ordered_prefix(
     df: DataFrame,
-    order: str,
+    order: str | Sequence[str],
     by: Sequence[str] = (),
-    weight: str | None = None,
+    weight: str | Sequence[str] | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """Add ``_cum`` (total weight of rows of the group whose order value is at
-    or before this row's, ties included) and ``_n`` (group total weight).
+    or before this row's, ties included) and ``_n`` (group total weight). With
+    several weights: ``_cum_<weight>`` and ``_n_<weight>`` of each.
 
-    ``order`` must be a non-null numeric column. Callers pass rows with
-    distinct (group, order) keys -- values collapsed to counts, or unique
-    hash keys -- so no range slice can hold a hot key.
+    ``order`` is one or several non-null columns. Callers pass rows with
+    distinct (group, order) keys -- values collapsed to counts, or a hash and
+    the row's id -- so no range slice can hold a hot key.
     """
     from sitewise.session import checkpoint
 
     by = list(by)
-    key = "_ord"
-    base = df.withColumn(key, -F.col(order) if descending else F.col(order).cast("double"))
-    w = F.col(weight) if weight else F.lit(1).cast("long")
-    largest, total = _group_sizes(base, by)
-    local = _local_max(base)
+    keys = [order] if isinstance(order, str) else list(order)
+    sort = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    names = [weight] if weight is None or isinstance(weight, str) else list(weight)
+    ends = [""] if weight is None or isinstance(weight, str) else [f"_{w}" for w in names]
+    w = [F.lit(1).cast("long") if c is None else F.col(c) for c in names]
     wg = _group_window(by)
-    if largest <= local:
-        # Every group fits one task (checked): one window per group.
-        return base.withColumns({
-            "_cum": F.sum(w).over(wg.orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_n": F.sum(w).over(wg),
-        }).drop(key)
-    par = base.sparkSession.sparkContext.defaultParallelism
-    n_parts = int(min(MAX_RANGE_PARTITIONS, max(par, -(-2 * total // local))))
     # The slice id is part of the data from here on; the checkpoint pins it so
     # the totals and the ranks below read exactly the same slicing.
-    sliced = checkpoint(base.repartitionByRange(n_parts, *by, key).withColumn("_slice", F.spark_partition_id()))
-    tot = sliced.groupBy(*by, "_slice").agg(F.sum(w).alias("_bt"))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = checkpoint(df.repartitionByRange(n_parts, *by, *sort).withColumn("_slice", F.spark_partition_id()))
+    tot = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_bt{e}") for c, e in zip(w, ends)])
     # About groups + n_parts rows: a per-group window over it is small.
+    up = wg.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
-        *by,
-        "_slice",
-        F.coalesce(F.sum("_bt").over(wg.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bt").over(wg).alias("_n"),
+        *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)],
+        F.col("_slice").alias("_by_slice"),
+        *[F.coalesce(F.sum(f"_bt{e}").over(up), F.lit(0)).alias(f"_off{e}") for e in ends],
+        *[F.sum(f"_bt{e}").over(wg).alias(f"_n{e}") for e in ends],
     )
-    b = sliced.join(tot, [*by, "_slice"])
-    wi = Window.partitionBy(*by, "_slice").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return b.withColumn("_cum", F.col("_off") + F.sum(w).over(wi)).drop("_off", "_slice", key)
+    on = F.col("_slice") == F.col("_by_slice")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
+    b = sliced.join(tot, on)
+    wi = Window.partitionBy(*by, "_slice").orderBy(*sort).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumns({f"_cum{e}": F.col(f"_off{e}") + F.sum(c).over(wi) for c, e in zip(w, ends)})
+    return b.drop("_slice", "_by_slice", *[f"_off{e}" for e in ends], *[f"_by_{i}" for i in range(len(by))])
 
 
 def exact_quantiles(
@@ -116,18 +90,8 @@ def exact_quantiles(
     by = list(by)
     v = df.select(*by, F.col(value).cast("double").alias("_v"))
     v = v.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if _group_sizes(v, by)[0] <= _local_max(df):
-        # Every group's rows fit one task (checked): rank them with one sort
-        # per group; each row covers the single rank [rn - 1, rn).
-        wg = _group_window(by)
-        ranked = v.withColumns({
-            "_cum": F.row_number().over(wg.orderBy("_v")).cast("long"),
-            "_n": F.count(F.lit(1)).over(wg),
-            "_w": F.lit(1).cast("long"),
-        })
-    else:
-        counted = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
-        ranked = ordered_prefix(counted, "_v", by, weight="_w")
+    counted = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    ranked = ordered_prefix(counted, "_v", by, weight="_w")
     # Row covers 0-based ranks [_cum - _w, _cum).
     lo_rank = F.col("_cum") - F.col("_w")
     hits, aggs = [], []
@@ -177,6 +141,6 @@ def median_struct(df: DataFrame, cols: Sequence[str]) -> Column:
     return medians_row(df, cols).select(F.struct(*[F.col(c) for c in cols]).alias("m")).scalar()
 
 
-def row_index(df: DataFrame, order: str) -> DataFrame:
-    """Dense 0-based position of each row in the order of a unique numeric key."""
+def row_index(df: DataFrame, order: str | Sequence[str]) -> DataFrame:
+    """Dense 0-based position of each row in the order of a unique key."""
     return ordered_prefix(df, order).withColumn("_pos", F.col("_cum") - 1).drop("_cum", "_n")

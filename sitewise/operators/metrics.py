@@ -68,12 +68,14 @@ def _pair_auc(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("np").alias("P"),
         F.max("_n").alias("N"),
     )
-    return g.select(*keys, (F.col("wins") / (F.col("P") * F.col("N"))).alias("auc"))
+    # a pair without positives or negatives has no AUC
+    return g.select(*keys, F.try_divide(F.col("wins"), (F.col("P") * F.col("N")).cast("double")).alias("auc"))
 
 
 def hand_till_auc(df: DataFrame, truth: str, prob: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Multiclass AUC of Hand & Till (2001): mean over ordered level pairs
-    (i, j) of AUC(i vs j) using the probability of i, on rows of i and j."""
+    (i, j) of AUC(i vs j) using the probability of i, on rows of i and j.
+    Pairs with an absent level have no AUC and are left out of the mean."""
     levels = list(prob)
     parts = []
     for i, j in permutations(levels, 2):
@@ -93,32 +95,43 @@ def binary_auc(df: DataFrame, truth: str, score: str, positive: str) -> DataFram
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str, levels: Sequence[str]) -> DataFrame:
-    """Counts per (truth, pred) over the full level x level grid (zeros kept).
-    The grid comes from the fixed level list, not from the data."""
+    """Counts per (truth, pred) over the full level x level grid (zeros kept),
+    and the cells of missing or unknown labels that occur. The grid comes from
+    the fixed level list, not from the data."""
     spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in levels for b in levels], f"{truth} string, {pred} string")
+    grid = spark.createDataFrame([(a, b, 0) for a in levels for b in levels], f"{truth} string, {pred} string, n long")
     cnt = df.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(grid).join(cnt, [truth, pred], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return grid.unionByName(cnt).groupBy(truth, pred).agg(F.sum("n").cast("long").alias("n"))
 
 
 def roc_points(df: DataFrame, truth: str, score: str, positive: str) -> DataFrame:
     """One-vs-rest ROC: at each distinct score v, sensitivity = P(s >= v | pos)
-    and specificity = P(s < v | neg)."""
-    cnt = df.groupBy(F.col(score).cast("double").alias("v")).agg(
-        F.count_if(F.col(truth) == positive).cast("long").alias("np"),
-        F.count_if(F.col(truth) != positive).cast("long").alias("nn"),
-    )
-    rp = ordered_prefix(cnt, "v", [], weight="np", descending=True).withColumnsRenamed({"_cum": "tp", "_n": "P"})
-    rn = ordered_prefix(cnt.select("v", "nn"), "v", [], weight="nn", descending=True).withColumnsRenamed(
-        {"_cum": "fp", "_n": "N"})
-    j = rp.join(rn.select("v", "fp", "N"), "v")
-    return j.select(
-        F.col("v").alias("threshold"),
-        (F.col("tp") / F.col("P")).alias("sensitivity"),
-        (F.lit(1.0) - F.col("fp") / F.col("N")).alias("specificity"),
+    and specificity = P(s < v | neg); null when there is no such row."""
+    long = df.select(F.lit(positive).alias("level"), F.col(score).cast("double").alias("v"), (F.col(truth) == positive).alias("pos"))
+    return _roc(long).drop("level")
+
+
+def _roc(long: DataFrame) -> DataFrame:
+    """ROC points per level of rows (level, v, pos), in one prefix sum."""
+    long = long.where(F.col("v").isNotNull() & F.col("pos").isNotNull())
+    cnt = long.groupBy("level", "v").agg(F.count_if("pos").cast("long").alias("np"), F.count_if(~F.col("pos")).cast("long").alias("nn"))
+    r = ordered_prefix(cnt, "v", ["level"], weight=["np", "nn"], descending=True)
+    return r.select(
+        "level", F.col("v").alias("threshold"),
+        F.try_divide(F.col("_cum_np"), F.col("_n_np")).alias("sensitivity"),
+        (F.lit(1.0) - F.try_divide(F.col("_cum_nn"), F.col("_n_nn"))).alias("specificity"),
     )
 
 
+def roc_points_all(df: DataFrame, truth: str, prob: Mapping[str, str]) -> DataFrame:
+    """ROC curve of every level against the rest, with its end points: (0, 1) at
+    a threshold above every score (null) and (1, 0) at the lowest score."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.col(c).cast("double").alias("v"),
+                                                   (F.col(truth) == lv).alias("pos")) for lv, c in prob.items()])).alias("s")).select("s.*")
+    start = df.sparkSession.createDataFrame([(lv, None, 0.0, 1.0) for lv in prob], "level string, threshold double, sensitivity double, specificity double")
+    return start.unionByName(_roc(long))
+
+
 def metric_table(df: DataFrame, truth: str, pred: str, prob: Mapping[str, str], model: str,
                  by: Sequence[str] = ()) -> DataFrame:
     """Long metric table: model, [by...], metric, estimator, estimate. With

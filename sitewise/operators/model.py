@@ -186,11 +186,13 @@ def tune_grid(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], data: D
     names = prob_names(levels)
     data = _ckpt(data)  # read once per fit: cut the lineage
     preds = None
-    for pid, params in enumerate(grid):
-        for k in folds:
-            train = data.where(F.col(fold_col) != k)
-            held = data.where(F.col(fold_col) == k)
-            m = fit(recipe, make_estimator(**params), train)
+    for k in folds:
+        # the recipe learns from the fold's training rows once, not per grid point
+        prep = recipe.fit(data.where(F.col(fold_col) != k))
+        train = _ckpt(prep.transform(data.where(F.col(fold_col) != k)))
+        held = prep.transform(data.where(F.col(fold_col) == k))
+        for pid, params in enumerate(grid):
+            m = make_estimator(**params).fit(train)
             pr = predict(m, held, key, truth, levels).withColumns({"param_id": F.lit(pid), "fold": F.lit(int(k)).cast("int")})
             preds = pr if preds is None else preds.unionByName(pr)
     # Every (grid point, fold) is scored in one grouped metric job.
@@ -230,6 +232,18 @@ def adaboost_samme(recipe: Pipeline, train: DataFrame, test: DataFrame, key: str
     return votes.withColumn("pred", ME.argmax_level(vnames)).select(key, "truth", "pred")
 
 
+def finalize_and_fit(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], metrics: DataFrame, train: DataFrame,
+                     metric: str = "accuracy") -> PipelineModel:
+    """Refit on all training rows with the grid point that tuning chose."""
+    best = select_best(metrics, metric).first()
+    return fit(recipe, make_estimator(**grid[best["param_id"]]), train)
+
+
+def mean_abs_shapley(phi: DataFrame) -> DataFrame:
+    """Mean absolute Shapley value per feature."""
+    return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+
+
 # ---------------------------------------------------------------- SMOTE (M9)
 
 def smote_2d(df: DataFrame, label: str, x: str, y: str, key: str, k: int = 5, seed: int = 123) -> DataFrame:
@@ -238,37 +252,41 @@ def smote_2d(df: DataFrame, label: str, x: str, y: str, key: str, k: int = 5, se
     New row = base + u * (neighbour - base), the neighbour one of the base's
     k nearest points of the same class (exact grid kNN), u and the neighbour
     choice from hashes of (id, copy, seed): reruns give the same rows. Output
-    keeps the originals (synthetic = false) and adds the new rows."""
+    keeps the originals (synthetic = false, no copy number) and adds the new
+    rows, known by the base row's id and a copy number. A missing label is no
+    class and is refused."""
     from sitewise.functions.quantiles import ordered_prefix
     from sitewise.operators.spatial import knn_points
 
     out_label, out_x, out_y = label, x, y
     df = df.select(F.col(key), F.col(label).alias("_lbl"), F.col(x).alias("_px"), F.col(y).alias("_py"))
     label, x, y = "_lbl", "_px", "_py"
+    if not df.where(F.col(label).isNull()).isEmpty():
+        raise ValueError("SMOTE needs a label on every row")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     target = sizes.agg(F.max("n_c")).scalar()
     base = df.select(key, label, x, y).join(sizes, label)
-    idx = ordered_prefix(base.withColumn("_k", F.col(key).cast("double")), "_k", [label]).withColumn(
-        "i", F.col("_cum") - 1).drop("_cum", "_n", "_k")
+    idx = ordered_prefix(base, key, [label]).withColumn("i", F.col("_cum") - 1).drop("_cum", "_n")
     need = target - F.col("n_c")
     n_copies = F.when(F.col("i") < need, F.floor((need - 1 - F.col("i")) / F.col("n_c")) + 1).otherwise(F.lit(0))
     copies = idx.withColumn("nc", n_copies.cast("int")).where(F.col("nc") > 0)
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).drop("nc")
-    copies = copies.withColumn("cid", F.col(key) * F.lit(1_000_003) + F.col("copy"))
-    copies = copies.withColumn("pick", (F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(k)) + 1).cast("int"))
     pts = df.select(key, label, F.col(x).alias("x"), F.col(y).alias("y"))
     nn = knn_points(pts, [label], key, k)
     nn_xy = nn.join(pts.select(F.col(key).alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny")), "nbr_id")
-    # If a class has fewer than k + 1 points the pick wraps to its last neighbour.
+    # A class of fewer than k + 1 points picks among the neighbours it has.
     nmax = nn.groupBy(label, key).agg(F.max("rank").alias("rmax"))
-    c = copies.join(nmax, [label, key]).withColumn("rank", F.least("pick", "rmax")).join(
-        nn_xy.select(label, key, "rank", "nx", "ny"), [label, key, "rank"])
-    u = hash_unit("cid", seed)
+    pick = (F.pmod(F.xxhash64(key, "copy", F.lit(seed)), F.col("rmax")) + 1).cast("int")
+    c = copies.join(nmax, [label, key], "left").withColumn("rank", pick)
+    c = c.join(nn_xy.select(label, key, "rank", "nx", "ny"), [label, key, "rank"], "left")
+    # A class of one row has no neighbour: its copies repeat it.
+    c = c.withColumns({"nx": F.coalesce("nx", F.col(x)), "ny": F.coalesce("ny", F.col(y))})
+    u = F.pmod(F.xxhash64(key, "copy", F.lit(seed + 1)), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
     synth = c.select(
-        F.col("cid").alias(key), label, (F.col(x) + u * (F.col("nx") - F.col(x))).alias(x),
+        F.col(key), F.col("copy").cast("long").alias("copy"), label, (F.col(x) + u * (F.col("nx") - F.col(x))).alias(x),
         (F.col(y) + u * (F.col("ny") - F.col(y))).alias(y), F.lit(True).alias("synthetic"),
         F.col(key).alias("base_id"), F.col("nx"), F.col("ny"))
-    orig = df.select(key, label, x, y, F.lit(False).alias("synthetic"), F.col(key).alias("base_id"),
+    orig = df.select(key, F.lit(None).cast("long").alias("copy"), label, x, y, F.lit(False).alias("synthetic"), F.col(key).alias("base_id"),
                      F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny"))
     return orig.unionByName(synth).withColumnsRenamed({label: out_label, x: out_x, y: out_y})
 
@@ -282,8 +300,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     two-level prefix sum, so no task holds the whole table."""
     from sitewise.functions.quantiles import row_index
 
-    base = df.withColumn("_h", hash_unit(key, seed) + F.col(key).cast("double") * F.lit(1e-12))
-    ix = row_index(base, "_h").drop("_h")
+    ix = row_index(df.withColumn("_h", F.xxhash64(key, F.lit(seed))), ["_h", key]).drop("_h")
     n = F.lit(ix.count())
     variants = []
     for f in features:
@@ -318,7 +335,7 @@ def shapley_sampled(model: PipelineModel, explain: DataFrame, background: DataFr
 
     d = len(features)
     spark = explain.sparkSession
-    bg = row_index(background.withColumn("_h", hash_unit(key, seed) + F.col(key).cast("double") * F.lit(1e-12)), "_h")
+    bg = row_index(background.withColumn("_h", F.xxhash64(key, F.lit(seed))), ["_h", key])
     nb = bg.count()
     pred_x = model.transform(explain).select(key, F.col("prediction").cast("int").alias("_cls"))
     ex = explain.join(pred_x, key)

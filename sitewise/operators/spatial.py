@@ -30,6 +30,7 @@ from sitewise.session import checkpoint as _ckpt
 
 from sitewise.functions import columns as C
 from sitewise.functions.quantiles import exact_quantiles
+from sitewise.operators.windows import null_safe_join
 
 # WGS84 ellipsoid and UTM zone 37 south (EPSG 32737).
 WGS84_A = 6378137.0
@@ -114,10 +115,10 @@ def centroid_outliers(df: DataFrame, by: Sequence[str], id_col: str, x: str = "x
     c = centroids(df, by, x, y)
     if centroid_digits is not None:
         c = c.withColumns({"cx": F.round("cx", centroid_digits), "cy": F.round("cy", centroid_digits)})
-    d = df.join(c.drop("n"), by).withColumn("dist", _dist(F.col(x), F.col(y), F.col("cx"), F.col("cy")))
+    d = null_safe_join(df, c.drop("n"), by, "inner").withColumn("dist", _dist(F.col(x), F.col(y), F.col("cx"), F.col("cy")))
     d = d.withColumn("dist", F.round("dist", 6))
     q = exact_quantiles(d, "dist", [p], ["threshold"], by)
-    return d.join(q, by, "left").select(*by, id_col, "dist", "threshold",
+    return null_safe_join(d, q, by).select(*by, id_col, "dist", "threshold",
                                         F.coalesce(F.col("dist") > F.col("threshold"), F.lit(False)).alias("is_outlier"))
 
 
@@ -278,20 +279,38 @@ def knn_locations(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str
         # finite coordinates; never return a partial neighbour table.
         if not pending.isEmpty():
             raise RuntimeError("kNN search did not cover every location")
-    nbrs = found[0]
-    for f in found[1:]:
+    # Nothing is searched when every neighbour is a copy at the same spot.
+    nbrs = locs.where(F.lit(False)).select(
+        *by, "loc", F.col("loc").alias("nbr_loc"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("take"))
+    for f in found:
         nbrs = nbrs.unionByName(f)
     kd = nbrs.groupBy(*by, "loc").agg(F.max("dist").alias("kdist"))
     out = locs.join(kd, [*by, "loc"], "left").withColumn("kdist", F.coalesce("kdist", F.lit(0.0)))
     return out.select(*by, "x", "y", "m", "loc", "kdist", "w0"), nbrs
 
 
+def _wrapped(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Group columns as one-field structs: these are never null and compare
+    equal when their fields do or are both missing, so a missing group is a
+    group of its own in every join below."""
+    return df.withColumns({c: F.struct(F.col(c).alias("v")) for c in by})
+
+
+def _unwrapped(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c)["v"] for c in by})
+
+
 def knn_points(df: DataFrame, by: Sequence[str], id_col: str, k: int, x: str = "x", y: str = "y") -> DataFrame:
     """k nearest other points of every point: by, id, rank, nbr_id, dist.
 
     Copies at the same spot come first (by id), then other locations by
-    (distance, location id, id). Output is k rows per point at most."""
+    (distance, location id, id). Output is k rows per point at most. Rows of a
+    missing group are neighbours of each other."""
     by = list(by)
+    return _unwrapped(_knn_points(_wrapped(df, by), by, id_col, k, x, y), by)
+
+
+def _knn_points(df: DataFrame, by: list[str], id_col: str, k: int, x: str, y: str) -> DataFrame:
     locs, nbrs = knn_locations(df, by, id_col, k, x, y)
     pts = df.select(*by, id_col, F.col(x).alias("x"), F.col(y).alias("y")).join(locs.select(*by, "x", "y", "loc"), [*by, "x", "y"])
     # First k+1 ids of every location (top-k per key: bounded per task).
@@ -317,8 +336,13 @@ def lof_by_group(df: DataFrame, by: Sequence[str], id_col: str, k: int = 15, top
 
     ``k`` counts the point itself when ``include_self`` (k - 1 neighbours).
     Groups with at most k rows get a missing score and FALSE. Ties are broken
-    by location id so the neighbour set is exactly k - 1 (or k) points."""
+    by location id so the neighbour set is exactly k - 1 (or k) points. A
+    missing group is a group like any other."""
     by = list(by)
+    return _unwrapped(_lof(_wrapped(df, by), by, id_col, k, top_percent, include_self, x, y), by)
+
+
+def _lof(df: DataFrame, by: list[str], id_col: str, k: int, top_percent: float, include_self: bool, x: str, y: str) -> DataFrame:
     kn = k - 1 if include_self else k
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     big = df.join(sizes, by).where(F.col("_n") > k).drop("_n")

@@ -136,6 +136,41 @@ def profile_date(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return basic.join(med, "variable", "left")
 
 
+def profile_boolean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Missing, true and false counts, and the share of true, of boolean columns."""
+    parts = [
+        F.struct(
+            F.lit(c).alias("variable"),
+            F.count_if(F.col(c).isNull()).cast("long").alias("n_missing"),
+            F.avg(F.col(c).isNotNull().cast("double")).alias("complete_rate"),
+            F.avg(F.col(c).cast("double")).alias("mean"),
+            F.count_if(F.col(c)).cast("long").alias("n_true"),
+            F.count_if(~F.col(c)).cast("long").alias("n_false"),
+        )
+        for c in cols
+    ]
+    return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+
+
+def profile_category(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Missing count, distinct levels and the count of the most frequent level
+    of category columns, all from one count per (column, level)."""
+    c = level_counts(df, cols)
+    real = F.col("value").isNotNull()
+    return c.groupBy(F.col("name").alias("variable")).agg(
+        F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).cast("long").alias("n_missing"),
+        F.count_if(real).cast("long").alias("n_unique"),
+        F.max(F.when(real, F.col("n"))).cast("long").alias("top_n"),
+    )
+
+
+def model_facts(folds: DataFrame, fold: str, features: Sequence[str]) -> DataFrame:
+    """Number of folds, of features and of rows behind a model, as the report states them."""
+    return folds.agg(
+        F.count_distinct(fold).cast("long").alias("n_folds"), F.lit(len(features)).cast("long").alias("n_features"),
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 def level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(name, value, n) for several category columns in long form."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "name", "value")

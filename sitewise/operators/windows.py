@@ -26,6 +26,16 @@ def hash_unit(id_col: str, seed: int) -> Column:
     return F.pmod(h, F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys where a missing key matches a missing key, as the reference does."""
+    keys = list(keys)
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def dense_rank_within(df: DataFrame, by: Sequence[str], order: str, out: str) -> DataFrame:
     """dense_rank of ``order`` inside each group; a missing value gets a missing rank.
 
@@ -34,7 +44,7 @@ def dense_rank_within(df: DataFrame, by: Sequence[str], order: str, out: str) ->
     by = list(by)
     levels = df.select(*by, order).distinct().where(F.col(order).isNotNull())
     ranked = levels.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(order)).cast("int"))
-    return df.join(ranked, [*by, order], "left")
+    return null_safe_join(df, ranked, [*by, order])
 
 
 def sample_per_group(df: DataFrame, by: Sequence[str], n: int, id_col: str, seed: int = 123) -> DataFrame:
@@ -46,12 +56,6 @@ def sample_per_group(df: DataFrame, by: Sequence[str], n: int, id_col: str, seed
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def _md5_key(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """Numeric form of the md5 order: the first 13 hex digits (52 bits, exact
-    in a double), so the prefix-sum helper can range over it."""
-    return df.withColumn("_k", F.conv(F.substring(seeded_order(id_col, seed), 1, 13), 16, 10).cast("double"))
-
-
 def stratified_split(df: DataFrame, strata: str, id_col: str, prop: float = 0.8, seed: int = 123,
                      out: str = "split") -> DataFrame:
     """Exact stratified split: first floor(prop * n) rows of each stratum in
@@ -59,7 +63,7 @@ def stratified_split(df: DataFrame, strata: str, id_col: str, prop: float = 0.8,
     sum, so a big stratum is spread over many tasks."""
     from sitewise.functions.quantiles import ordered_prefix
 
-    r = ordered_prefix(_md5_key(df, id_col, seed), "_k", [strata])
+    r = ordered_prefix(df.withColumn("_k", seeded_order(id_col, seed)), ["_k", id_col], [strata])
     return r.withColumn(out, F.when(F.col("_cum") <= F.floor(F.col("_n") * F.lit(prop)), "train").otherwise("test")).drop(
         "_k", "_cum", "_n"
     )
@@ -74,7 +78,7 @@ def vfold_assign(df: DataFrame, strata: str, id_col: str, v: int = 5, seed: int
     """Stratified folds: position within the stratum's md5 order, modulo v."""
     from sitewise.functions.quantiles import ordered_prefix
 
-    r = ordered_prefix(_md5_key(df, id_col, seed), "_k", [strata])
+    r = ordered_prefix(df.withColumn("_k", seeded_order(id_col, seed)), ["_k", id_col], [strata])
     return r.withColumn(out, ((F.col("_cum") - 1) % v).cast("int")).drop("_k", "_cum", "_n")
 
 

@@ -15,6 +15,7 @@ MODULES = [
     "sitewise.plans.q_spatial",
     "sitewise.plans.q_metrics",
     "sitewise.plans.q_model",
+    "sitewise.plans.q_missing",
 ]
 
 

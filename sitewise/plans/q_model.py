@@ -133,18 +133,32 @@ def model_roundtrip(s, d):
 GRID_RANGES = {"mtry": (1.0, 5.0), "min_n": (2.0, 40.0)}
 
 
-def tune(s, d):
-    tr, _ = train_test(s, d)
+def _tuned(tr):
     folds = WI.vfold_assign(tr, "status_group", "id", 3, 123)
     grid = MO.latin_hypercube(GRID_RANGES, 3, 123, integer=["mtry", "min_n"])
-    return MO.tune_grid(recipe(), lambda mtry, min_n: MO.random_forest(8, mtry, min_n), grid, folds, "fold", "id",
-                        "status_group", LV, "random_forest")
+
+    def make(mtry, min_n):
+        return MO.random_forest(8, mtry, min_n)
+
+    return make, grid, MO.tune_grid(recipe(), make, grid, folds, "fold", "id", "status_group", LV, "random_forest")
+
+
+def tune(s, d):
+    return _tuned(train_test(s, d)[0])[2]
 
 
 register("tune_metrics")(tune)
 register("select_best")(lambda s, d: MO.select_best(tune(s, d), "accuracy"))
 
 
+@register("refit_best")
+def refit_best(s, d):
+    """Tuning, then one fit on all training rows with the parameters it chose."""
+    tr, te = train_test(s, d)
+    make, grid, res = _tuned(tr)
+    return MO.predict(MO.finalize_and_fit(recipe(), make, grid, _ckpt(res), tr), te, "id", "status_group", LV)
+
+
 @register("nested_cv")
 def nested_cv(s, d):
     """Outer folds by hash; inside each, a small tuning over inner folds,
@@ -175,6 +189,11 @@ register("permutation_importance")(_importance)
 register("top_features")(lambda s, d: MO.top_features(_importance(s, d), 15))
 
 
+@register("shapley_mean_abs")
+def shapley_mean_abs(s, d):
+    return MO.mean_abs_shapley(shapley_sampled(s, d))
+
+
 @register("shapley_sampled")
 def shapley_sampled(s, d):
     tr, te = train_test(s, d)
@@ -182,12 +201,35 @@ def shapley_sampled(s, d):
     return MO.shapley_sampled(m, te, tr, FEATURES, "id", LV, samples=4)
 
 
+def _rated(s, d):
+    """Labelled documents: the toxic class is rare by nature."""
+    doc = B.table(s, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                                            F.length(F.regexp_replace("text", "[^ ]", "")).cast("double").alias("n_spaces"))
+    lab = B.table(s, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("rating"))
+    return lab.join(doc, "doc_id")
+
+
 @register("smote")
 def smote(s, d):
-    o = B.order_sites(s, d)
-    # Rare class made by a filter: keep 'non functional' only for large orders.
-    rare = o.where((F.col("status_group") != "non functional") | (F.col("o_totalprice") > 350000))
-    return MO.smote_2d(rare, "status_group", "o_totalprice", "c_acctbal", "id", k=5, seed=123)
+    return MO.smote_2d(_rated(s, d), "rating", "n_chars", "n_spaces", "doc_id", k=5, seed=123)
+
+
+@register(
+    "smote_sizes",
+    sql="""WITH r AS (SELECT CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END AS rating FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+c AS (SELECT rating, COUNT(*) AS n FROM r GROUP BY 1)
+SELECT rating, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS n_synthetic, CAST(0 AS BIGINT) AS n_off_segment FROM c""",
+)
+def smote_sizes(s, d):
+    """Class sizes after oversampling, and new points off the segment from
+    their base to the neighbour that was picked (none)."""
+    new = smote(s, d)
+    base = _rated(s, d).select(F.col("doc_id").alias("base_id"), F.col("n_chars").alias("bx"), F.col("n_spaces").alias("by"))
+    off = F.abs((F.col("n_chars") - F.col("bx")) * (F.col("ny") - F.col("by")) - (F.col("n_spaces") - F.col("by")) * (F.col("nx") - F.col("bx")))
+    size = 1 + F.abs(F.col("nx") - F.col("bx")) * F.abs(F.col("ny") - F.col("by"))
+    return new.join(base, "base_id").groupBy("rating").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("synthetic").alias("n_synthetic"),
+        F.count_if(F.col("synthetic") & (off > 1e-6 * size)).alias("n_off_segment"))
 
 
 @register("ensemble_models")

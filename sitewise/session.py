@@ -2,7 +2,8 @@
 
 Jobs never pick a machine-local folder on their own: anything written between
 stages goes below the shared folder named by ``spark.checkpoint.dir``. Only
-when the session has none (local tests) do we create one.
+a session on one machine (local master) that has none gets a scratch folder; a
+cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -35,14 +36,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a scratch one only if unset."""
+    """Return the shared checkpoint folder; create a scratch one only on a local master that has none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="sitewise-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="sitewise-ckpt-")  # one machine: tests and the bench
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

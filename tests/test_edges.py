@@ -12,6 +12,7 @@ from sitewise.operators import clean as CL
 from sitewise.operators import metrics as ME
 from sitewise.operators import quality as QU
 from sitewise.operators import spatial as SP
+from sitewise.operators import windows as WI
 from sitewise.sources import io as IO
 
 
@@ -34,23 +35,26 @@ def test_all_null_column_and_empty_frame(spark):
     assert IO.require_columns(df, ["id", "x"]) and not IO.require_columns(df, ["nope"])
 
 
-@pytest.mark.parametrize("local_max", [10 ** 9, 3])
-def test_quantiles_both_paths_match_builtin(spark, local_max):
-    spark.conf.set(Q.LOCAL_MAX_CONF, str(local_max))
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_quantiles_match_builtin_and_keep_the_null_group(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         rng = np.random.default_rng(1)
-        rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 400), np.round(rng.normal(size=400), 2))]
+        rows = [(None if g == 3 else int(g), float(v)) for g, v in zip(rng.integers(0, 4, 400), np.round(rng.normal(size=400), 2))]
         df = spark.createDataFrame(rows, "g int, v double")
         got = {r["g"]: (r["a"], r["b"], r["c"]) for r in Q.exact_quantiles(df, "v", [0.1, 0.5, 0.99], ["a", "b", "c"], ["g"]).collect()}
         ref = df.groupBy("g").agg(F.percentile("v", 0.1).alias("a"), F.percentile("v", 0.5).alias("b"),
                                   F.percentile("v", 0.99).alias("c")).collect()
+        assert len(ref) == len(got) == 4
         for r in ref:
             assert got[r["g"]] == pytest.approx((r["a"], r["b"], r["c"]), abs=1e-12)
         pref = Q.ordered_prefix(df, "v", ["g"]).collect()
+        assert len(pref) == 400
         for r in pref:
             assert r["_cum"] == sum(1 for g, v in rows if g == r["g"] and v <= r["v"])
     finally:
-        spark.conf.unset(Q.LOCAL_MAX_CONF)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_group_of_one_and_spread(spark):
@@ -189,7 +193,6 @@ def test_auc_ties_and_missing_predictions(spark):
 
 
 def test_sliced_prefix_matches_single_task(spark):
-    from sitewise.operators import windows as WI
 
     rng = np.random.default_rng(11)
     rows = [(i, ["a", "b", "c"][int(rng.integers(0, 3))], float(np.round(rng.random(), 2))) for i in range(600)]
@@ -204,13 +207,55 @@ def test_sliced_prefix_matches_single_task(spark):
         return split, folds, auc, roc, idx
 
     single = run()
-    spark.conf.set(Q.LOCAL_MAX_CONF, "40")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
         sliced = run()
     finally:
-        spark.conf.unset(Q.LOCAL_MAX_CONF)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert single[0] == sliced[0] and single[1] == sliced[1] and single[4] == sliced[4]
     assert single[2] == pytest.approx(sliced[2], abs=1e-12)
     flat = lambda rows: [v for r in rows for v in r]
     assert flat(single[3]) == pytest.approx(flat(sliced[3]), abs=1e-12)
     assert [p for _, p in single[4]] == list(range(600))
+
+
+def test_null_groups_and_tied_hashes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 2 else "a", float(np.round(rng.random(), 3)), float(np.round(rng.random(), 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    named = df.withColumn("g", F.coalesce("g", F.lit("b")))
+    split, want = (WI.stratified_split(d, "g", "id").select("id", "split").collect() for d in (df, named))
+    assert sorted(split) == sorted(want) and len(split) == 60
+    folds, want = (WI.vfold_assign(d, "g", "id", 5).select("id", "fold").collect() for d in (df, named))
+    assert sorted(folds) == sorted(want) and len(folds) == 60
+    for fn in (lambda d: SP.lof_by_group(d, ["g"], "id", 5), lambda d: SP.centroid_outliers(d, ["g"], "id"),
+               lambda d: SP.knn_points(d, ["g"], "id", 3)):
+        got, want = (sorted(tuple(r)[1:] for r in fn(d).collect()) for d in (df, named))
+        assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
+    ranks = WI.dense_rank_within(df, ["g"], "x", "r").where("g is null and r is null").count()
+    assert ranks == 0
+    ties = spark.createDataFrame([(i,) for i in range(4)], "id long").withColumn("h", F.lit(0))
+    assert sorted(r["_pos"] for r in Q.row_index(ties, ["h", "id"]).collect()) == [0, 1, 2, 3]
+
+
+def test_spatial_without_any_search(spark):
+    small = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 1.0, 0.0), (3, "b", 0.0, 1.0)], "id long, g string, x double, y double")
+    out = SP.lof_by_group(small, ["g"], "id", 5).collect()
+    assert len(out) == 3 and all(r["lof"] is None and not r["is_outlier"] for r in out)
+    spot = spark.createDataFrame([(i, "a", 2.0, 2.0) for i in range(6)], "id long, g string, x double, y double")
+    assert SP.knn_points(spot, ["g"], "id", 2).count() == 12
+
+
+def test_metrics_with_absent_levels(spark):
+    rows = [("a", "a", 0.8, 0.1, 0.1), ("b", "a", 0.6, 0.3, 0.1), ("b", "b", 0.2, 0.7, 0.1), (None, "b", 0.3, 0.6, 0.1), ("a", None, 0.4, 0.5, 0.1)]
+    df = spark.createDataFrame(rows, "truth string, pred string, pa double, pb double, pc double")
+    prob = {"a": "pa", "b": "pb", "c": "pc"}
+    assert ME.hand_till_auc(df, "truth", prob).first()["roc_auc"] == pytest.approx(0.75)
+    cells = {(r["truth"], r["pred"]): r["n"] for r in ME.confusion_matrix(df, "truth", "pred", ["a", "b", "c"]).collect()}
+    assert sum(cells.values()) == 5 and cells[(None, "b")] == 1 and cells[("a", None)] == 1 and cells[("c", "c")] == 0
+    roc = ME.roc_points_all(df, "truth", prob).collect()
+    assert {r["level"] for r in roc} == {"a", "b", "c"}
+    assert all(r["sensitivity"] is None for r in roc if r["level"] == "c" and r["threshold"] is not None)
+    assert sum(r["threshold"] is None for r in roc) == 3
+    assert ME.roc_points(df, "truth", "pc", "c").where("sensitivity is not null").count() == 0
