@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from sitewise.functions import columns as C
 from sitewise.functions.quantiles import columns_quantiles, exact_quantiles, median_struct
+from sitewise.operators.windows import attach
 
 # Fixed value: the region parameter that means "no region filter".
 ALL_REGIONS = "All Regions"
@@ -39,7 +40,7 @@ def left_join(values: DataFrame, labels: DataFrame, on: Sequence[str], null_safe
 
 def attach_group_stat(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join a per-group statistic back onto each row (grouped mutate)."""
-    return df.join(stats, list(by), "left")
+    return attach(df, stats, list(by))
 
 
 # ---------------------------------------------------------------- imputation
@@ -93,7 +94,7 @@ def equal_width_bins(df: DataFrame, col: str, n_bins: int, out: str = "bin", by:
     x = C.nan_to_null(col) if C.is_fractional(df, col) else F.col(col)
     if by:
         ext = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-        d = df.join(ext, by)
+        d = attach(df, ext, by, "inner")
     else:
         s = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
         d = df.withColumn("_s", s).withColumns({"_lo": F.col("_s.lo"), "_hi": F.col("_s.hi")}).drop("_s")

@@ -30,7 +30,7 @@ from sitewise.session import checkpoint as _ckpt
 
 from sitewise.functions import columns as C
 from sitewise.functions.quantiles import exact_quantiles
-from sitewise.operators.windows import null_safe_join
+from sitewise.operators.windows import attach
 
 # WGS84 ellipsoid and UTM zone 37 south (EPSG 32737).
 WGS84_A = 6378137.0
@@ -115,10 +115,10 @@ def centroid_outliers(df: DataFrame, by: Sequence[str], id_col: str, x: str = "x
     c = centroids(df, by, x, y)
     if centroid_digits is not None:
         c = c.withColumns({"cx": F.round("cx", centroid_digits), "cy": F.round("cy", centroid_digits)})
-    d = null_safe_join(df, c.drop("n"), by, "inner").withColumn("dist", _dist(F.col(x), F.col(y), F.col("cx"), F.col("cy")))
+    d = attach(df, c.drop("n"), by, "inner").withColumn("dist", _dist(F.col(x), F.col(y), F.col("cx"), F.col("cy")))
     d = d.withColumn("dist", F.round("dist", 6))
     q = exact_quantiles(d, "dist", [p], ["threshold"], by)
-    return null_safe_join(d, q, by).select(*by, id_col, "dist", "threshold",
+    return attach(d, q, by).select(*by, id_col, "dist", "threshold",
                                         F.coalesce(F.col("dist") > F.col("threshold"), F.lit(False)).alias("is_outlier"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions import columns as C
 from sitewise.functions.quantiles import columns_quantiles, exact_quantiles
+from sitewise.session import checkpoint
 
 
 def _val(df: DataFrame, c: str):
@@ -219,7 +220,8 @@ def _contingency(df: DataFrame, features: Sequence[str], target: str) -> DataFra
         F.col(target).cast("string").alias("b"),
         F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("a")) for f in features])),
     ).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    cells = long.groupBy("feature", "a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    # Written once: every margin below reads the cells, not the input.
+    cells = checkpoint(long.groupBy("feature", "a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
     # Margins by aggregation (partial sums before the shuffle), joined back on
     # their keys: no window holds all cells of a high-cardinality feature.
     row_m = cells.groupBy("feature", "a").agg(F.sum("n_ab").alias("n_a"))

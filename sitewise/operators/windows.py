@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewise.session import checkpoint
+
 
 def seeded_order(id_col: str, seed: int) -> Column:
     """Deterministic pseudo-random sort key."""
@@ -36,6 +38,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+# A per-group table of at most this many rows is sent to the tasks whole.
+BROADCAST_ROWS = 10_000
+
+
+def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table of few rows per group onto the rows of the groups, so that
+    a hot group is not dealt to one task: the small table is written once and
+    counted; up to BROADCAST_ROWS rows it is broadcast, beyond that the join
+    shuffles and adaptive execution splits the hot keys."""
+    groups = checkpoint(groups)
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
+    return null_safe_join(df, groups, keys, how)
+
+
 def dense_rank_within(df: DataFrame, by: Sequence[str], order: str, out: str) -> DataFrame:
     """dense_rank of ``order`` inside each group; a missing value gets a missing rank.
 
@@ -44,7 +61,7 @@ def dense_rank_within(df: DataFrame, by: Sequence[str], order: str, out: str) ->
     by = list(by)
     levels = df.select(*by, order).distinct().where(F.col(order).isNotNull())
     ranked = levels.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(order)).cast("int"))
-    return null_safe_join(df, ranked, [*by, order])
+    return attach(df, ranked, [*by, order])
 
 
 def sample_per_group(df: DataFrame, by: Sequence[str], n: int, id_col: str, seed: int = 123) -> DataFrame:

@@ -161,7 +161,7 @@ SELECT o.id, o.region, o.region_code, CAST(dups.n_codes AS BIGINT) AS n_codes FR
 def region_dups(s, d):
     o = B.order_sites(s, d).select("id", "region", "region_code")
     dups = QU.mapping_violations(o, "region", "region_code", "n_codes")
-    return o.join(dups, "region", "left")
+    return WI.attach(o, dups, ["region"])
 
 
 @register(
@@ -175,7 +175,7 @@ def rows_in_multicode_regions(s, d):
     o = B.order_sites(s, d).select("id", "region", "region_code", "lga")
     dups = QU.mapping_violations(o, "region", "region_code").select("region")
     combos = o.select("region", "region_code").distinct().join(dups, "region")
-    return o.join(combos, ["region", "region_code"], "inner")
+    return WI.attach(o, combos, ["region", "region_code"], "inner")
 
 
 @register(
