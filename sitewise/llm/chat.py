@@ -229,3 +229,25 @@ def digests(pieces: DataFrame) -> DataFrame:
     rows = pieces.select("conv_id", "block", "piece", "rendered", "token_starts", "token_ends", "loss_mask")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "piece")
     return rows.select("conv_id", "rendered", "token_starts", "token_ends", "loss_mask").mapInArrow(_digest, _DIGEST)
+
+
+# What must come back from the formatted output, straight from the table; the
+# length of the output from the template's marks and the escapes' number.
+_ANY = "|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)).replace("'", "''")
+
+
+def _escaped_sql(col: str) -> str:
+    return f"(length({col}) + length({col}) - length(replace({col}, chr(92), '')) + len(regexp_extract_all({col}, '{_ANY}')))"
+
+
+ORACLE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, COUNT(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM({len(START) + len(SEP) + len(END)} + {_escaped_sql("role")} + {_escaped_sql("text")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

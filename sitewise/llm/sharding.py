@@ -24,9 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of a shard are numbered inside this many sub-buckets of the shard, so no
-# task numbers a whole shard.
-SUB_BUCKETS = 4096
+# Rows of a shard are numbered inside sub-buckets of the shard, so no task
+# numbers a whole shard: this many hex digits of a hash, 4,096 sub-buckets.
+SUB_DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,8 @@ def number_rows(df: DataFrame, shard: str = "shard", slot: str = "slot") -> Data
     task of its own. Only the columns of ``df`` are moved; keep it narrow.
     """
     cols = df.columns
-    sub = F.pmod(F.xxhash64(*cols), F.lit(SUB_BUCKETS)).cast("int")
+    row = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    sub = F.substring(F.md5(row.cast("binary")), 1, SUB_DIGITS)
     rows = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sub", sub)
     before = Window.partitionBy(shard, "_sub").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -144,3 +145,37 @@ def shard_documents(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None
         "grown_shard", F.lit(None).cast("int"))
     rows = number_rows(rows.withColumn("law", F.lit("key")))
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _draw_sql(path: str, weight: float) -> str:
+    return f"-ln((('0x' || substr(md5(k || '|{path}'), 1, 13))::BIGINT + 0.5) / {1 << 52}.0) / {weight}"
+
+
+def _shard_sql(region: int, rack: int) -> str:
+    draws = ", ".join(_draw_sql(f"shard/{region}.0/{rack}/{(region * 2 + rack) * 4 + i}", 1.0) for i in range(4))
+    return f"{(region * 2 + rack) * 4 - 1} + list_position([{draws}], list_min([{draws}]))"
+
+
+def _rack_sql(region: int) -> str:
+    return f"CASE WHEN {_draw_sql(f'rack/{region}.0/0', 4.0)} <= {_draw_sql(f'rack/{region}.0/1', 4.0)} THEN {_shard_sql(region, 0)} ELSE {_shard_sql(region, 1)} END"
+
+
+# The query's tree written out: two regions of two racks of four shards, and
+# shard 16 as a second generation below region 1. CRC-32 by its byte table.
+ORACLE = f"""
+WITH RECURSIVE step AS (
+  SELECT n, 0 AS i, n AS v FROM (SELECT unnest(range(256))::BIGINT AS n)
+  UNION ALL SELECT n, i + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE i < 8),
+tab AS (SELECT list(v ORDER BY n) AS t FROM step WHERE i = 8),
+d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null') AS k, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+c AS (
+  SELECT doc_id, k, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a & 255, x) + 1)::INT])), 4294967295) AS text_crc32,
+    {_draw_sql("region/0.0", 8.0)} AS r0, {_draw_sql("region/1.0", 8.0)} AS r1, {_draw_sql("region/1.1", 1.0)} AS r2 FROM d, tab),
+s AS (
+  SELECT doc_id, size, text_crc32, 'key' AS law, CAST(CASE WHEN r0 <= r1 THEN {_rack_sql(0)} ELSE {_rack_sql(1)} END AS INTEGER) AS shard, r0, r1, r2 FROM c),
+g AS (SELECT doc_id, size, text_crc32, law, shard, CAST(CASE WHEN r2 < least(r0, r1) THEN 16 ELSE shard END AS INTEGER) AS grown_shard FROM s)
+SELECT *, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws('|', doc_id, size, text_crc32, shard, grown_shard, law)), 1, {SUB_DIGITS}),
+  doc_id NULLS FIRST, size, text_crc32, grown_shard) - 1 AS slot FROM g
+"""
