@@ -22,7 +22,6 @@ one doc_id have equal results; a term that overlaps an entity's span is left.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
