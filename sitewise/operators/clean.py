@@ -17,7 +17,7 @@ from sitewise.session import checkpoint as _ckpt
 from pyspark.sql import types as T
 
 from sitewise.functions import columns as C
-from sitewise.functions.quantiles import columns_quantiles, exact_quantiles, median_struct
+from sitewise.functions.quantiles import exact_quantiles, median_struct
 from sitewise.operators.windows import attach
 
 # Fixed value: the region parameter that means "no region filter".
@@ -253,22 +253,3 @@ def drop_sparse_columns(df: DataFrame, max_missing_share: float = 0.3) -> tuple[
     row = df.agg(*aggs).first()
     dropped = [c for c in df.columns if row[c] is not None and row[c] > max_missing_share]
     return df.drop(*dropped), dropped
-
-
-def column_quantile_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long summary: variable, min, q25, median, mean, stdev, q75, max."""
-    q = columns_quantiles(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"])
-    aggs = []
-    for c in cols:
-        x = C.nan_to_null(c) if C.is_fractional(df, c) else F.col(c).cast("double")
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.min(x).cast("double").alias("min"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("stdev"),
-                F.max(x).cast("double").alias("max"),
-            )
-        )
-    basic = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
-    return basic.join(q, "variable", "left")

@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from sitewise.session import checkpoint as _ckpt
 
 from sitewise.operators import metrics as ME
-from sitewise.operators.windows import hash_unit
 
 
 # ---------------------------------------------------------------- recipe (M3-M8)
@@ -302,20 +301,14 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
     ix = row_index(df.withColumn("_h", F.xxhash64(key, F.lit(seed))), ["_h", key]).drop("_h")
     n = F.lit(ix.count())
-    variants = []
-    for f in features:
-        donor = ix.select(((F.col("_pos") + 1) % n).alias("_pos"), F.col(f).alias("_donor"))
-        v = ix.join(donor, "_pos").withColumn(f, F.col("_donor")).drop("_donor").withColumn("_feature", F.lit(f))
-        variants.append(v)
-    allv = variants[0]
-    for v in variants[1:]:
-        allv = allv.unionByName(v)
-    names = prob_names(levels)
+    # one join brings each row its donor; every feature then takes its turn
+    donor = ix.select(((F.col("_pos") + 1) % n).alias("_pos"), F.struct(*[F.col(f) for f in features]).alias("_donor"))
+    allv = ix.join(donor, "_pos").withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    allv = allv.withColumns({f: F.when(F.col("_feature") == f, F.col("_donor")[f]).otherwise(F.col(f)) for f in features}).drop("_donor")
     scored = model.transform(allv.drop("_pos"))
     pred = scored.withColumn("_pred_idx", F.col("prediction"))
     acc = pred.groupBy("_feature").agg(F.avg((F.col("_pred_idx") == F.col("label")).cast("double")).alias("acc"))
     base_acc = model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).scalar()
-    del names
     return acc.select(F.col("_feature").alias("feature"), (base_acc - F.col("acc")).alias("importance"))
 
 
@@ -334,7 +327,6 @@ def shapley_sampled(model: PipelineModel, explain: DataFrame, background: DataFr
     from sitewise.functions.quantiles import row_index
 
     d = len(features)
-    spark = explain.sparkSession
     bg = row_index(background.withColumn("_h", F.xxhash64(key, F.lit(seed))), ["_h", key])
     nb = bg.count()
     pred_x = model.transform(explain).select(key, F.col("prediction").cast("int").alias("_cls"))
@@ -366,5 +358,4 @@ def shapley_sampled(model: PipelineModel, explain: DataFrame, background: DataFr
         (F.sum("_delta") / F.lit(float(samples))).alias("phi"))
     ends = sc.groupBy(key).agg(
         F.avg(F.when(F.col("_t") == d, F.col("_f"))).alias("fx"), F.avg(F.when(F.col("_t") == 0, F.col("_f"))).alias("base"))
-    del spark
     return phi.join(ends, key)

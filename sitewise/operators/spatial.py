@@ -434,11 +434,24 @@ def point_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
     """Adds ``poly_region``: the (smallest) name of the polygons holding each
     point by even-odd ray casting, or null.
 
-    The polygon table is a short reference list; it reaches the tasks as one
-    scalar subquery value, so the points are neither joined nor shuffled."""
-    polys = polygons.agg(
-        F.collect_list(F.struct(F.col(name).alias("name"), F.col(ring).alias("ring"))).alias("p")
-    ).scalar()
+    Polygons are listed by the cells of a grid (cells of the mean polygon's
+    size) that their boxes touch; a point meets the polygons of its own cell
+    only. The cell table is attached by a checked broadcast, or a shuffle join
+    when it is large. A ring may be closed or not; a missing coordinate, name
+    or ring matches nothing."""
+    polys = polygons.select(F.col(name).alias("name"), F.col(ring).alias("ring")).where(F.size("ring") > 0)
+    xs, ys = F.transform("ring", lambda q: q["x"]), F.transform("ring", lambda q: q["y"])
+    polys = polys.select("name", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
+                         F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    size = polys.agg(F.struct(F.avg(F.col("x1") - F.col("x0")).alias("w"), F.avg(F.col("y1") - F.col("y0")).alias("h")).alias("s")).first()["s"]
+    w, h = size["w"] or 1.0, size["h"] or 1.0
+
+    def cell(c, step):
+        return F.floor(c / F.lit(float(step))).cast("long")
+
+    cells = polys.withColumn("_cx", F.explode(F.sequence(cell(F.col("x0"), w), cell(F.col("x1"), w))))
+    cells = cells.withColumn("_cy", F.explode(F.sequence(cell(F.col("y0"), h), cell(F.col("y1"), h))))
+    cells = cells.groupBy("_cx", "_cy").agg(F.collect_list(F.struct("name", "ring")).alias("_polys"))
     px, py = F.col(x), F.col(y)
 
     def inside(poly):
@@ -457,9 +470,9 @@ def point_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
 
         return in_box & F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), flip)
 
-    withp = points.withColumn("_polys", polys)
+    withp = attach(points.withColumns({"_cx": cell(px, w), "_cy": cell(py, h)}), cells, ["_cx", "_cy"])
     hits = F.filter("_polys", inside)
-    return withp.withColumn("poly_region", F.array_min(F.transform(hits, lambda p: p["name"]))).drop("_polys")
+    return withp.withColumn("poly_region", F.array_min(F.transform(hits, lambda p: p["name"]))).drop("_polys", "_cx", "_cy")
 
 
 # ---------------------------------------------------------------- chart data

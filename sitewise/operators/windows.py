@@ -86,11 +86,6 @@ def stratified_split(df: DataFrame, strata: str, id_col: str, prop: float = 0.8,
     )
 
 
-def stratified_split_hash(df: DataFrame, id_col: str, prop: float = 0.8, seed: int = 123, out: str = "split") -> DataFrame:
-    """Scale variant: per-row hash threshold; proportions hold on average."""
-    return df.withColumn(out, F.when(hash_unit(id_col, seed) < prop, "train").otherwise("test"))
-
-
 def vfold_assign(df: DataFrame, strata: str, id_col: str, v: int = 5, seed: int = 123, out: str = "fold") -> DataFrame:
     """Stratified folds: position within the stratum's md5 order, modulo v."""
     from sitewise.functions.quantiles import ordered_prefix

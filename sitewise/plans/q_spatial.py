@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from sitewise.operators import spatial as SP
 from sitewise.plans import bindings as B
 from sitewise.plans.registry import r6, register
+from sitewise.session import shared_path
+from sitewise.sources import io as IO
 
 XS, YS = SP.utm_sql("lon", "lat")
 PTS_SQL = f"""SELECT id, grp, lon, lat, round({XS}, 3) AS x, round({YS}, 3) AS y FROM ({B.POINTS_SQL}) p
@@ -92,7 +94,9 @@ SELECT a.grp, round(max({DIST}), 6) AS spread FROM p a JOIN p b ON a.grp = b.grp
 
 def polygons_df(s):
     rows = [(name, [{"x": x, "y": y} for x, y in ring]) for name, ring in POLYGONS]
-    return s.createDataFrame(rows, "region string, ring array<struct<x: double, y: double>>")
+    path = shared_path(s, "polygons")
+    s.createDataFrame(rows, IO.POLYGON_SCHEMA).write.json(path)
+    return IO.read_polygons(s, path)
 
 
 def _edges_sql():

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions import columns as C
-from sitewise.functions.quantiles import exact_quantiles, medians_row
+from sitewise.functions.quantiles import medians_row
 from sitewise.operators import quality as QU
 from sitewise.operators import stats as ST
 from sitewise.operators import windows as WI

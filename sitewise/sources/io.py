@@ -55,6 +55,15 @@ def read_labels_with_levels(spark: SparkSession, path: str, schema: T.StructType
     return with_levels(read_csv_typed(spark, path, schema), label, levels, ord_col)
 
 
+POLYGON_SCHEMA = "region string, ring array<struct<x:double,y:double>>"
+
+
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Polygon layer: one JSON object per line with a region and its ring of
+    points. Shapefile binaries are converted to this form beforehand."""
+    return spark.read.schema(POLYGON_SCHEMA).json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", NTZ_FORMAT).csv(path)
     return path

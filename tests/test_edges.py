@@ -259,3 +259,9 @@ def test_metrics_with_absent_levels(spark):
     assert all(r["sensitivity"] is None for r in roc if r["level"] == "c" and r["threshold"] is not None)
     assert sum(r["threshold"] is None for r in roc) == 3
     assert ME.roc_points(df, "truth", "pc", "c").where("sensitivity is not null").count() == 0
+
+
+def test_inferred_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x,when,flag\n1,2.5,2013-02-01,true\n2,,2013-02-03,false\n")
+    out = IO.read_csv_inferred(spark, str(tmp_path / "a.csv"))
+    assert [t for _, t in out.dtypes] == ["int", "double", "date", "boolean"] and out.count() == 2
