@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -178,9 +179,11 @@ def latin_hypercube(ranges: Mapping[str, tuple[float, float]], size: int, seed:
 
 
 def tune_grid(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], data: DataFrame, fold_col: str,
-              key: str, truth: str, levels: Sequence[str], model_name: str) -> DataFrame:
+              key: str, truth: str, levels: Sequence[str], model_name: str, parallelism: int = 4) -> DataFrame:
     """Fit every grid point on every fold's complement, score the held-out
-    fold: long table (model, param_id, fold, metric, estimate)."""
+    fold: long table (model, param_id, fold, metric, estimate). The fits of a
+    fold are submitted ``parallelism`` at a time, so one fit's narrow stages
+    leave no executors idle."""
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
     names = prob_names(levels)
     data = _ckpt(data)  # read once per fit: cut the lineage
@@ -190,8 +193,9 @@ def tune_grid(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], data: D
         prep = recipe.fit(data.where(F.col(fold_col) != k))
         train = _ckpt(prep.transform(data.where(F.col(fold_col) != k)))
         held = prep.transform(data.where(F.col(fold_col) == k))
-        for pid, params in enumerate(grid):
-            m = make_estimator(**params).fit(train)
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(lambda params, rows=train: make_estimator(**params).fit(rows), grid))
+        for pid, m in enumerate(models):
             pr = predict(m, held, key, truth, levels).withColumns({"param_id": F.lit(pid), "fold": F.lit(int(k)).cast("int")})
             preds = pr if preds is None else preds.unionByName(pr)
     # Every (grid point, fold) is scored in one grouped metric job.
