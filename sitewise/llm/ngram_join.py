@@ -414,6 +414,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     shown = shown.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("gid")).alias("comp"))
     mixed = shown.where("comp < 0").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
     crossed = lists.select("token", "gid", "n", "pos").join(shown, "gid")
+    # lists of one component need no second look: a family of copies is not dealt out by its shingles
+    open_lists = crossed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    crossed = crossed.join(open_lists, "token", "left_semi")
     crossed = crossed.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(_cross, _PAIR).distinct()
     more = checkpoint(expand(crossed.unionByName(mixed), members, F.col("c1") != F.col("c2")))
     if not more.isEmpty():
