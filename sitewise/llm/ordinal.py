@@ -13,7 +13,8 @@ The model is fitted on at most ``FIT_ROWS`` labelled rows (the smallest hashes
 of doc_id, a documented bound); features of fewer than ``MIN_ROWS`` of them
 or with small odds have no weight. Scoring covers every row and whole texts.
 
-Defined cases: a null text is empty; a null grade is not used; several labels
+Defined cases: a null text is empty; a null grade is not used, one outside the
+levels counts as the nearest; several labels
 of a document all count; a level that no label has gets an empty interval; no
 labels at all: grade and tail are null and every document is selected.
 """
@@ -32,10 +33,11 @@ from sitewise.llm.textbytes import LETTER_TABLES, WHITE, byte_tables, mix, text_
 
 BUCKETS = 1 << 18
 GRAM = 4
-FIT_ROWS = 12000
+FIT_ROWS = 10000
 MIN_ROWS = 5
 STEPS = 100
 LEAST_ODDS = 0.2
+PART = 1 << 20
 
 _ALNUM = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
 _NOT_SYMBOL = bytes(b for b in range(256) if b in WHITE or b in _ALNUM or b >= 128 or b < 32 or b == 127)
@@ -109,6 +111,10 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _parts(n: int) -> list[slice]:
+    return [slice(a, a + PART) for a in range(0, n, PART)]
+
+
 class OrdinalModel:
     """Shared weights and ordered thresholds."""
 
@@ -125,9 +131,13 @@ class OrdinalModel:
 
 def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = STEPS, l2: float = 40.0) -> OrdinalModel:
     """Penalised maximum likelihood by full-batch Adam steps."""
-    n, cuts = len(slots), range(levels - 1)
-    flat = np.concatenate(slots)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in slots])
+    return _fit(np.concatenate(slots), np.array([len(x) for x in slots]), grades, levels, steps, l2)
+
+
+def _fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, steps: int = STEPS, l2: float = 40.0) -> OrdinalModel:
+    """fit of slots one after another; works through them in parts of PART."""
+    n, cuts = len(sizes), range(levels - 1)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     # A feature's value is its strongest log odds over the grade cuts, so the
     # penalty falls most on features that hardly tell the grades apart; those
     # below LEAST_ODDS are left out.
@@ -136,15 +146,18 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = S
     for j in cuts:
         high = grades > j
         if high.any() and not high.all():
-            a = np.bincount(flat[high[row]], minlength=BUCKETS)
+            a = sum(np.bincount(flat[p][high[row[p]]], minlength=BUCKETS) for p in _parts(len(flat)))
             odds = np.maximum(odds, np.abs(np.log((a + 0.5) / (high.sum() + 1)) - np.log((seen - a + 0.5) / (n - high.sum() + 1))))
     use = np.flatnonzero((seen >= min(MIN_ROWS, n)) & (odds >= LEAST_ODDS))
     m, value = len(use), odds[use]
     new = np.full(BUCKETS, -1, dtype=np.int32)
     new[use] = np.arange(m)
     idx = new[flat]
-    row, idx = row[idx >= 0], idx[idx >= 0]
-    each = value[idx]
+    keep = idx >= 0
+    row, idx = row[keep], idx[keep]
+    each = value.astype(np.float32)[idx]
+    del keep, flat
+    parts = _parts(len(idx))
     share = np.array([(grades > j).mean() for j in cuts]).clip(1e-4, 1 - 1e-4)
     first = -np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(first), 0.1))
@@ -153,7 +166,7 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = S
     for step in range(1, steps + 1):
         w, t0, g = par[:m], par[m], par[m + 1 :]
         t = t0 + np.concatenate([[0.0], np.cumsum(np.exp(g))])
-        score = np.bincount(row, weights=w[idx] * each, minlength=n)
+        score = sum((np.bincount(row[p], weights=w[idx[p]] * each[p], minlength=n) for p in parts), np.zeros(n))
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -50, 50)))
         # P(grade) is the difference of neighbouring tails
         full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
@@ -166,7 +179,8 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = S
         np.add.at(d_t, grades + 1, -down / p / n)
         d_t = d_t[1:levels]
         rest = np.cumsum(d_t[::-1])[::-1]
-        grad = np.concatenate([np.bincount(idx, weights=d_score[row] * each, minlength=m) + l2 / n * w, rest[:1], rest[1:] * np.exp(g)])
+        slope_w = sum((np.bincount(idx[p], weights=d_score[row[p]] * each[p], minlength=m) for p in parts), l2 / n * w)
+        grad = np.concatenate([slope_w, rest[:1], rest[1:] * np.exp(g)])
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         par = par - 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -183,16 +197,22 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_documents(docs: DataFrame, ratings: DataFrame, levels: int, rows: int = FIT_ROWS) -> OrdinalModel | None:
     """Model fitted on at most ``rows`` of the ratings (doc_id, grade in 0..levels-1)."""
-    some = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("grade").cast("int").alias("grade"))
+    some = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.least(F.greatest(F.col("grade").cast("int"), F.lit(0)), F.lit(levels - 1)).alias("grade"))
     some = some.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "grade").limit(rows)
     # at most `rows` rows of two numbers: bounded by the parameter
     data = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("grade", "text")
     table = data.mapInArrow(_slots, "grade int, slots binary").toArrow()
-    got = zip(table.column("grade").to_pylist(), (x.as_buffer() for x in table.column("slots")), strict=True)
-    got = sorted(((g, np.frombuffer(x, dtype=np.int32)) for g, x in got if x.size), key=lambda r: (r[0], len(r[1]), int(r[1].sum(dtype=np.int64))))
-    if not got:
+    grades = table.column("grade").to_numpy()
+    lists = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in table.column("slots")]
+    # the same order whatever the partitioning, so that sums are the same
+    order = [i for i in sorted(range(len(lists)), key=lambda i: (grades[i], len(lists[i]), int(lists[i].sum(dtype=np.int64)))) if len(lists[i])]
+    if not order:
         return None
-    return fit([x for _, x in got], np.array([g for g, _ in got]), levels)
+    sizes = np.array([len(lists[i]) for i in order])
+    flat, grades = np.concatenate([lists[i] for i in order]), grades[order]
+    del lists, table
+    return _fit(flat, sizes, grades.astype(np.int64), levels)
 
 
 OUT = ("expected_grade", "tail_probability", "selected")
