@@ -6,12 +6,21 @@ discloses part of an entity: with document frequencies over the whole corpus,
     disclosure(t, e) = PMI(e; t) / IC(e) = 1 - log p(e | t) / log p(e)
 
 is the share of the entity's information that the term gives away. p(e, t)
-counts the documents in which t stands within ``CONTEXT`` words of e. A pair
-counts from ``SUPPORT`` distinct texts on, so that exact copies and chance
-neighbours of a rare entity prove nothing. In a document that holds the entity,
-every occurrence of a term with a disclosure of ``GENERALISE`` or more is
-generalised (its text becomes a label), of ``REMOVE`` or more removed. Spans
-of entities stay as they are and are replaced by the label of their kind.
+counts the documents in which t stands within ``CONTEXT`` words of e. Every
+entity and every neighbour counts, also those of a single text: addresses and
+numbers seldom stand in more than one, and a word that stands nowhere else
+leads to them (of an entity in one of N documents, a neighbour that stands in n
+discloses 1 - log n / log N). What chance explains discloses nothing: with a
+term's n_t documents drawn at random, n_et or more of them hold e with a
+probability of at most exp(-n_t KL(n_et / n_t || p(e))); from ``CHANCE`` on the
+disclosure is at most 0 (a word of one text beside an entity of one text needs
+more than 1 / CHANCE documents). In a document that holds the entity, every
+occurrence of a term with a disclosure of ``GENERALISE`` or more is generalised
+(its text becomes a label), of ``REMOVE`` or more removed. Spans of entities
+stay as they are and are replaced by the label of their kind.
+
+No step pairs all texts of an entity with all its terms: pairs with equal counts
+are weighed once, and a text is matched by the (entity, term) it holds itself.
 
 Terms are runs of letters, A-Z lower-cased. Positions are code points.
 
@@ -22,6 +31,8 @@ one doc_id have equal results; a term that overlaps an entity's span is left.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,13 +43,15 @@ from pyspark.sql import functions as F
 
 from sitewise.llm.gate import Gate, gate, passes
 from sitewise.llm.tables import fresh, match
-from sitewise.llm.textbytes import LETTER_TABLES, text_chunks, words
+from sitewise.llm.textbytes import LETTER_TABLES, mix, text_chunks, words
 from sitewise.session import checkpoint
 
-CONTEXT, SUPPORT = 8, 3
+CONTEXT = 8
+CHANCE = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalise", "remove")
+SLICE = 1 << 20  # words counted at a time
 LABEL = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "generalise": "<TERM>", "remove": ""}
 
 # The patterns are those of the contract in a form that takes linear time: a
@@ -115,6 +128,10 @@ def context(text: str, start: int, end: int, n: int = CONTEXT) -> set[str]:
     return {fold(t) for t in near}
 
 
+def name(text: str, kind: str, start: int, end: int) -> str:
+    return f"{kind}:{fold(text[start:end])}"
+
+
 def shown(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -138,7 +155,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["base"].append(shown(spans))
             near: dict[str, set[str]] = {}
             for k, a, b in spans:
-                near.setdefault(f"{k}:{fold(text[a:b])}", set()).update(context(text, a, b))
+                near.setdefault(name(text, k, a, b), set()).update(context(text, a, b))
             out["near"].append([{"entity": e, "terms": sorted(t)} for e, t in near.items()])
         yield pa.RecordBatch.from_pydict(out, schema=_FOUND_ARROW)
 
@@ -159,49 +176,98 @@ def _hash_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(term_hashes(terms), pa.int64())], names=["term", "h"])
 
 
-def _term_counts(bits) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = Gate(bits.value).test
-        for batch in batches:
-            found = []
-            for _, buf, offsets in text_chunks(batch.column("text")):
-                h, n, _ = words(buf, offsets, LETTER_TABLES)
-                h = h.view(np.int64)
-                keep = test(h)
-                doc = np.repeat(np.arange(len(n)), n)[keep]
-                h = h[keep]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                found.append(h[first])
-            h, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    return run
-
-
-def revealing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame | None:
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n): texts of a slice that hold the word, for all words."""
+    for batch in batches:
+        found, held = [], 0
+        for _, buf, offsets in text_chunks(batch.column("text")):
+            h, n, _ = words(buf, offsets, LETTER_TABLES)
+            h = h.view(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            found.append(h[first])
+            held += len(found[-1])
+            if held >= SLICE:
+                yield _tally(found)
+                found, held = [], 0
+        yield _tally(found)
+
+
+def _tally(found: list[np.ndarray]) -> pa.RecordBatch:
+    h, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+
+def revealing_terms(rows: DataFrame, found: DataFrame, support: int = 1, least: float = GENERALISE) -> DataFrame | None:
     """(entity, term, disclosure) of the pairs at or over a disclosure of ``least``;
-    None when no pair has the support."""
+    None when no entity has a neighbour. ``support`` is the least number of
+    distinct texts of an entity and of a pair; 1 leaves none out."""
     near = found.where(F.size("near") > 0).groupBy("_row").agg(F.count(F.lit(1)).alias("copies"), F.first("near").alias("near"))
     near = near.select("_row", "copies", F.explode("near").alias("x")).select("copies", "x.*")
     freq = near.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts")
-    pairs = near.join(freq, "entity").select("entity", "n_e", "copies", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    pairs = checkpoint(pairs)
+    pairs = near.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
+        F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts")
+    pairs = checkpoint(pairs.join(freq, "entity"))
     if pairs.isEmpty():
         return None
     terms = checkpoint(pairs.select("term").distinct().mapInArrow(_hash_terms, "term string, h long"))
-    bits = rows.sparkSession.sparkContext.broadcast(gate(terms, "h").bits)
-    counts = rows.select("text").mapInArrow(_term_counts(bits), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
+    counts = rows.select("text").mapInArrow(_term_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
     total = found.count()
     if total < 2:
         return None
-    pairs = pairs.join(terms.join(counts, "h"), "term")
+    # a common word is the neighbour of many entities: equal counts are weighed once
+    alike = ["term", "n_e", "n_et"]
     share = F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))
-    disclosure = F.when(F.col("n_e") < total, 1 - F.log(share) / F.log(F.col("n_e") / F.lit(float(total))))
-    return checkpoint(pairs.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= least))
+    p = F.col("n_e") / F.lit(float(total))
+    disclosure = 1 - F.log(share) / F.log(p)
+    gain = F.col("n_t") * (share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0))
+    proven = (share > p) & (gain > -math.log(CHANCE))
+    disclosure = F.when(F.col("n_e") < total, F.when(proven, disclosure).otherwise(F.least(disclosure, F.lit(0.0))))
+    weighed = pairs.select(*alike).distinct().join(terms.join(counts, "h"), "term").select(*alike, disclosure.alias("disclosure"))
+    weighed = checkpoint(weighed.where(F.col("disclosure") >= least))
+    key = F.xxhash64(*alike)
+    pairs = pairs.where(passes(pairs, key, gate(weighed.select(key.alias("k")), "k")))
+    return checkpoint(pairs.join(weighed, alike).select("entity", "term", "disclosure"))
+
+
+def _entity_hash(entity: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(entity.encode(), digest_size=8).digest(), "little"))
+
+
+def _hash_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = term_hashes(batch.column("term").to_pylist())
+        e = np.array([_entity_hash(x) for x in batch.column("entity").to_pylist()], np.uint64)
+        k = mix(h.view(np.uint64) ^ e).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64())], names=["h", "k"])
+
+
+def _standing(term_bits, pair_bits):
+    """(_row, entity, term): entities of a text and the terms in it that may
+    disclose them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        revealing, paired = Gate(term_bits.value).test, Gate(pair_bits.value).test
+        for batch in batches:
+            out = {"_row": [], "entity": [], "term": []}
+            for row, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "text")), strict=True):
+                held = {name(text, *s) for s in entities(text)}
+                terms = list({fold(m[0]) for m in _TERM.finditer(text)}) if held else []
+                h = term_hashes(terms)
+                keep = np.flatnonzero(revealing(h))
+                h = h[keep].view(np.uint64)
+                for e in held:
+                    hit = keep[paired(mix(h ^ _entity_hash(e)).view(np.int64))].tolist()
+                    out["_row"] += [row] * len(hit)
+                    out["entity"] += [e] * len(hit)
+                    out["term"] += [terms[i] for i in hit]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["_row"], pa.int64()), pa.array(out["entity"], pa.string()), pa.array(out["term"], pa.string())], names=list(out))
+
+    return run
 
 
 def _added(remove: float):
@@ -211,10 +277,13 @@ def _added(remove: float):
         for batch in batches:
             out = []
             for row, text, terms in zip(*(batch.column(c).to_pylist() for c in ("_row", "text", "terms")), strict=True):
-                level = {}
-                for t in terms:
-                    level[t["term"]] = max(level.get(t["term"], 0.0), t["disclosure"])
-                taken = sorted((a, b) for _, a, b in entities(text))
+                level = {t["term"]: t["disclosure"] for t in terms}
+                taken = []  # spans of entities, those that overlap as one
+                for _, a, b in sorted(entities(text), key=lambda s: s[1:]):
+                    if taken and a < taken[-1][1]:
+                        taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+                    else:
+                        taken.append((a, b))
                 i, spans = 0, []
                 for m in _TERM.finditer(text):
                     d = level.get(fold(m[0]))
@@ -222,7 +291,7 @@ def _added(remove: float):
                         continue
                     while i < len(taken) and taken[i][1] <= m.start():
                         i += 1
-                    if any(a < m.end() and b > m.start() for a, b in taken[i:]):
+                    if i < len(taken) and taken[i][0] < m.end():
                         continue
                     spans.append(("remove" if d >= remove else "generalise", *m.span()))
                 spans.sort(key=lambda s: (ADDED.index(s[0]), s[1]))
@@ -233,7 +302,7 @@ def _added(remove: float):
     return run
 
 
-def spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def spans(docs: DataFrame, support: int = 1, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of docs: doc_id, _row (hash of the text), counts by kind,
     base spans and spans added by the method, as text."""
     rows = _keyed(docs)
@@ -242,9 +311,12 @@ def spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALIS
     pairs = revealing_terms(rows, found, support, generalise)
     if pairs is None:
         return out.withColumn("added", F.lit(""))
-    held = found.where(F.size("near") > 0).select("_row", F.explode("near.entity").alias("entity")).distinct()
-    held = held.join(pairs, "entity").groupBy("_row").agg(F.collect_set(F.struct("term", "disclosure")).alias("terms"))
-    held = checkpoint(held)
+    send = rows.sparkSession.sparkContext.broadcast
+    keys = checkpoint(pairs.select("entity", "term").mapInArrow(_hash_pairs, "h long, k long"))
+    held = rows.where(passes(rows, F.col("_row"), gate(found.where(F.size("near") > 0), "_row"))).select("_row", "text").mapInArrow(
+        _standing(send(gate(keys, "h").bits), send(gate(keys, "k").bits)), "_row long, entity string, term string")
+    held = held.distinct().join(pairs, ["entity", "term"]).groupBy("_row", "term").agg(F.max("disclosure").alias("disclosure"))
+    held = checkpoint(held.groupBy("_row").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms")))
     some = rows.where(passes(rows, F.col("_row"), gate(held, "_row"))).select("_row", "text").dropDuplicates(["_row"])
     added = some.join(held, "_row").select("_row", "text", "terms").mapInArrow(_added(remove), "_row long, added string")
     return out.join(added, "_row", "left").withColumn("added", F.coalesce("added", F.lit("")))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,6 +152,53 @@ def test_disclosure_against_brute_force(spark):
     assert got["beta"] == pytest.approx(1 - np.log(4 / 9) / np.log(4 / 9), abs=1e-9)
 
 
+def test_an_entity_of_one_text_is_disclosed_by_its_rare_neighbours(spark):
+    """Definition by brute force over texts that hold each entity once."""
+    random.seed(8)
+    vocabulary = ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        text = random.choices(vocabulary, weights=[1 / (j + 1) ** 2 for j in range(60)], k=30)
+        if i % 4 == 0:
+            text[15:15] = [f"p{i}@mail.example.org", *(["+1 (555) 010-20" + str(i)] if i % 8 == 0 else [])]
+        if i % 10 == 0:
+            text.append(f"only{'abcdefghijkl'[i // 10]}")
+            text.insert(17, f"only{'abcdefghijkl'[i // 10]}")
+        rows.append((i, " ".join(text)))
+    rows += [(500 + i, rows[0][1]) for i in range(3)]  # exact copies
+    n, terms_of, near, n_e, n_t = len(rows), {}, {}, Counter(), Counter()
+    for i, t in rows:
+        terms_of[i] = {w.lower() for w in re.findall("[A-Za-z]+", t)}
+        near[i] = {}
+        for k, a, b in plain_entities(t):
+            words = re.findall("[A-Za-z]+", t[:a])[-8:] + re.findall("[A-Za-z]+", t[b:])[:8]
+            near[i].setdefault((k, t[a:b]), set()).update(words)
+        n_e.update(near[i].keys())
+        n_t.update(terms_of[i])
+    n_et = Counter((e, w) for i in near for e, ws in near[i].items() for w in ws)
+    shares = {p: 1 - np.log(c / n_t[p[1]]) / np.log(n_e[p[0]] / n) for p, c in n_et.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = 0
+    for r in pii.report(docs).collect():
+        text = dict(rows)[r["doc_id"]]
+        base = plain_entities(text)
+        want = [("email", a, b) for k, a, b in base if k == "email"] + [("phone", a, b) for k, a, b in base if k == "phone"]
+        added = []
+        for m in re.finditer("[A-Za-z]+", text):
+            level = max((shares.get((e, m[0]), 0) for e in near[r["doc_id"]]), default=0)
+            if level >= 0.8 and not any(a < m.end() and b > m.start() for _, a, b in base):
+                added.append(("remove" if level >= 0.95 else "generalise", *m.span()))
+        some += len(added)
+        assert r["spans"] == pii.shown(want + sorted(added)), r["doc_id"]
+    assert some > 20
+
+
+def test_an_entity_of_all_documents_is_not_disclosed(spark):
+    rows = [(i, f"{'even' if i % 2 else 'odd'} jo@mail.example.org here") for i in range(40)] + [(40, "here and here jo@mail.example.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["spans"].startswith("email:") and "," not in r["spans"] for r in pii.report(docs).collect())
+
+
 def test_pii_edges(edge, empty):
     rows = pii.report(edge).collect()
     assert len(rows) == edge.count()
