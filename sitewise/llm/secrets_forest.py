@@ -1,8 +1,11 @@
 """Secret scan: candidate strings scored by a random forest.
 
 Candidates are runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]``
-that hold a digit, are all capitals or mix cases inside. The forest removes
-false positives; its features are
+that hold a digit, are all capitals or mix cases inside, and the values that are
+assigned to a key name (password, token, ..), whatever their length and signs:
+quoted ones up to the quote, others up to white space, less closing signs. Runs
+inside such a value stay candidates of their own. The forest removes false
+positives; its features are
 
 * length, shares of digits, capitals, small letters and signs, entropy, number
   of distinct characters,
@@ -46,14 +49,38 @@ PATH_SLOTS, WORD_SLOTS = 8, 16
 BLOCKS = 64
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
 _WORD = re.compile("[A-Za-z\x80-\U0010ffff]+")
-_ASSIGN = re.compile(r"""[=:]\s*["']?\Z""")
+_ASSIGN = re.compile(r"""(?:=>|[=:])\s*["']?\Z""")
+KEY_NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|(?:api|access|private|secret)[_-]?key)"
+_KEY = re.compile(rf"""(?i){KEY_NAMES}["']?\s*+(?::=|=>|[=:])\s*+""")
+_VALUE = re.compile(r"""(?s)"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|["']?(\S++)""")
+_CLOSING = ",;)]}>\"'"
 
 
-def candidates(text: str) -> Iterator[re.Match]:
+def _runs(text: str) -> Iterator[tuple[int, int]]:
     for m in _RUN.finditer(text):
         s = m[0]
-        if any(c.isdigit() for c in s) or s.isupper() or not (s.islower() or s[1:].islower()) and s.isalpha():
-            yield m
+        if any(c.isdigit() for c in s) or s.isupper() or any(c.isalpha() for c in s) and not (s.islower() or s[1:].islower()):
+            yield m.span()
+
+
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    stop = 0
+    for key in _KEY.finditer(text):
+        if key.end() < stop:  # inside the value before
+            continue
+        m = _VALUE.match(text, key.end())
+        if m is None:
+            continue
+        start, stop = m.span(m.lastindex)
+        end = stop
+        while m.lastindex == 3 and end > start and text[end - 1] in _CLOSING:
+            end -= 1
+        if end > start:
+            yield start, end
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    return sorted({*_runs(text), *_values(text)})
 
 
 # ------------------------------------------------------------------ corpus counts
@@ -143,7 +170,7 @@ def features(text: str, start: int, end: int, path: str, corpus: Corpus) -> list
     out = [
         float(n), sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(c.islower() for c in s) / n,
         sum(not c.isalnum() for c in s) / n, -sum(v / n * math.log2(v / n) for v in count.values()), float(len(count)),
-        float(steps.mean()), float(steps.min()), _coverage(s, corpus.dictionary), float(bool(_ASSIGN.search(left))),
+        float(steps.mean()) if n > 1 else 0.0, float(steps.min()) if n > 1 else 0.0, _coverage(s, corpus.dictionary), float(bool(_ASSIGN.search(left))),
     ]
     for word, slots in (("".join(path.split()), PATH_SLOTS), (before[-1] if before else "", WORD_SLOTS),
                         (before[-2] if len(before) > 1 else "", WORD_SLOTS), (after[0] if after else "", WORD_SLOTS)):
@@ -166,9 +193,8 @@ def _scan(corpus):
         for batch in batches:
             out = []
             for doc, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
-                for m in candidates(text):
-                    a, b = m.span()
-                    out.append({"doc_id": doc, "start": a, "end": b, "candidate": m[0], "left": text[max(0, a - 24) : a],
+                for a, b in candidates(text):
+                    out.append({"doc_id": doc, "start": a, "end": b, "candidate": text[a:b], "left": text[max(0, a - 24) : a],
                                 "features": features(text, a, b, path, known)})
                     if len(out) >= 5000:
                         yield pa.RecordBatch.from_pylist(out, schema=_CANDIDATE_ARROW)
@@ -214,14 +240,18 @@ def classify(found: DataFrame, findings: DataFrame, rows: int = FIT_ROWS, level:
 
 
 # Forms that issuers give their keys, and key names that are
-# followed by a secret; benign forms are digits alone and letters alone.
+# followed by a secret; benign forms are digits alone and written words, not
+# after a key name. Short values need a digit and a letter.
 ISSUED = r"^AKIA[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_live_[A-Za-z0-9]{16,}$|^xox[abp]-[A-Za-z0-9-]{10,}$"
-NAMED = r"(?i)(password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?$"
-BENIGN = r"^[0-9+/_-]+$|^[A-Za-z]+$|^[A-Za-z]+([-_/+][A-Za-z]+)+$"
+NAMED = rf"(?i){KEY_NAMES}[\"']?\s*(:=|=>|[=:])\s*[\"']?$"
+_PART = "([A-Z]?[a-z]{2,}([A-Z][a-z]{2,})*|[A-Z]+|[a-z])"
+BENIGN = rf"^[0-9+/_-]+$|^{_PART}([-_/+]+{_PART})*$"
+VALUE = r"^(?=.*[0-9]).{%d,}$|^(?=.*[0-9])(?=.*[A-Za-z]).{6,}$" % LEAST
 
 
 def label_by_form(found: DataFrame) -> DataFrame:
     """Labelled findings from forms that leave no doubt; others stay unlabelled."""
-    secret = F.when(F.col("candidate").rlike(ISSUED) | (F.col("left").rlike(NAMED) & F.col("candidate").rlike("[0-9]")), 1).when(
-        F.col("candidate").rlike(BENIGN), 0)
+    named = F.col("left").rlike(NAMED)
+    secret = F.when(F.col("candidate").rlike(ISSUED) | (named & F.col("candidate").rlike(VALUE)), 1).when(
+        ~named & F.col("candidate").rlike(BENIGN), 0)
     return found.select("doc_id", "start", "end", secret.alias("secret"))

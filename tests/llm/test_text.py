@@ -229,6 +229,41 @@ def test_secrets_are_told_from_lookalikes(spark):
     assert len(out) >= 180 and right / len(out) > 0.97
 
 
+@pytest.mark.parametrize("text, secret", [
+    ("key sk_live_AbCdEfGhIjKlMnOpQr here", "sk_live_AbCdEfGhIjKlMnOpQr"),
+    ("raw AbCd/EfGh+IjKl-MnOp_Qr here", "AbCd/EfGh+IjKl-MnOp_Qr"),
+    ("password=p.a!s$s@w=1 next", "p.a!s$s@w=1"),
+    ("PASSWORD: x", "x"),
+    ('{"api_key": "two words, 7", "b": 1}', "two words, 7"),
+    ("token = 'it\\'s' and", "it\\'s"),
+    ("secret: password: hunter2, then", "hunter2"),
+    ('pwd="open', "open"),
+    ("passwd := päss", "päss"),
+])
+def test_secret_is_a_candidate(text, secret):
+    assert secret in [text[a:b] for a, b in secrets_forest.candidates(text)]
+
+
+def test_candidates_take_linear_time():
+    for text in ("token=" * 50000, "token " + " " * 300000, 'token="' * 40000, "token = '" + "a" * 300000, "Ab-" * 100000):
+        secrets_forest.candidates(text)
+
+
+def test_short_passwords_are_found(spark):
+    random.seed(6)
+    sign = lambda n: "".join(random.choice("abcdefgh2345678!$@.") for _ in range(n))
+    rows = []
+    for i in range(120):
+        rows.append((i, f"log in with password={sign(9)}a1 and go on", "src1"))
+        rows.append((1000 + i, f"call number {random.randrange(10**15, 10**16)} THEWORDSAREHERE and more", "src2"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets_forest.scan(docs)
+    assert found.where("doc_id < 1000").select("doc_id").distinct().count() == 120
+    labels = secrets_forest.label_by_form(found).where("doc_id % 2 = 0")
+    out = secrets_forest.classify(found, labels).where("doc_id % 2 = 1 and end - start = 11 and doc_id < 1000").collect()
+    assert len(out) == 60 and all(r["is_secret"] for r in out)
+
+
 def test_secrets_edges(edge, empty, spark):
     found = secrets_forest.scan(edge)
     out = secrets_forest.classify(found, secrets_forest.label_by_form(found))
