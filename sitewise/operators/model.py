@@ -97,10 +97,12 @@ def one_hot_columns(df: DataFrame, col: str, levels: Sequence[str] | None = None
 
 # ---------------------------------------------------------------- estimators
 
-def random_forest(num_trees: int = 50, mtry: int | None = None, min_n: int = 1, seed: int = 123, max_bins: int = 64):
+def random_forest(num_trees: int = 50, mtry: int | None = None, min_n: int = 1, seed: int = 123, max_bins: int = 64,
+                  max_depth: int = 30):
+    """30 is the deepest tree Spark grows; ``min_n`` ends the branches."""
     return RandomForestClassifier(
         numTrees=num_trees, featureSubsetStrategy=str(mtry) if mtry else "sqrt", minInstancesPerNode=min_n,
-        seed=seed, maxBins=max_bins, labelCol="label", featuresCol="features",
+        maxDepth=max_depth, seed=seed, maxBins=max_bins, labelCol="label", featuresCol="features",
     )
 
 
@@ -183,7 +185,8 @@ def tune_grid(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], data: D
     """Fit every grid point on every fold's complement, score the held-out
     fold: long table (model, param_id, fold, metric, estimate). The fits of a
     fold are submitted ``parallelism`` at a time, so one fit's narrow stages
-    leave no executors idle."""
+    leave no executors idle; each is scored at once, so the driver holds
+    ``parallelism`` models and not the whole grid's."""
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
     names = prob_names(levels)
     data = _ckpt(data)  # read once per fit: cut the lineage
@@ -193,10 +196,15 @@ def tune_grid(recipe: Pipeline, make_estimator, grid: Sequence[Mapping], data: D
         prep = recipe.fit(data.where(F.col(fold_col) != k))
         train = _ckpt(prep.transform(data.where(F.col(fold_col) != k)))
         held = prep.transform(data.where(F.col(fold_col) == k))
+
+        def scored(point, rows=train, out=held, fold=int(k)):
+            m = make_estimator(**point[1]).fit(rows)
+            pr = predict(m, out, key, truth, levels)
+            return _ckpt(pr.withColumns({"param_id": F.lit(point[0]), "fold": F.lit(fold).cast("int")}))
+
         with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(lambda params, rows=train: make_estimator(**params).fit(rows), grid))
-        for pid, m in enumerate(models):
-            pr = predict(m, held, key, truth, levels).withColumns({"param_id": F.lit(pid), "fold": F.lit(int(k)).cast("int")})
+            fold_preds = list(pool.map(scored, enumerate(grid)))
+        for pr in fold_preds:
             preds = pr if preds is None else preds.unionByName(pr)
     # Every (grid point, fold) is scored in one grouped metric job.
     return ME.metric_table(preds, "truth", "pred", names, model_name, ["param_id", "fold"])

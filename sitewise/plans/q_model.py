@@ -22,6 +22,12 @@ FEATURES = NUMERIC + CATEGORICAL + ["o_orderdate"]
 LV = B.STATUS_LEVELS
 O = f"({B.ORDER_SITES_SQL}) o"
 
+# Untuned fits take the middle of the reference's ranges; it names
+# no AdaBoost rounds and no Shapley samples.
+FOREST = {"num_trees": 750, "mtry": 10, "min_n": 6}
+BOOSTED = {"trees": 750, "depth": 5, "learn_rate": 10**-1.5}
+ROUNDS, SAMPLES = 50, 64
+
 # The level lists of the two one-hot columns (TPC-H domains).
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -96,7 +102,7 @@ def feature_recipe_q(s, d):
 
 
 register("rf_fit_predict")(lambda s, d: fit_predict(s, d, MO.random_forest(num_trees=20, mtry=3, min_n=2)))
-register("gbt_fit_predict")(lambda s, d: fit_predict(s, d, MO.boosted_trees(trees=5, depth=3, learn_rate=0.1)))
+register("gbt_fit_predict")(lambda s, d: fit_predict(s, d, MO.boosted_trees(**BOOSTED)))
 register("logistic_fit")(lambda s, d: fit_predict(s, d, MO.logistic(0.01)))
 register("svm_fit")(lambda s, d: fit_predict(s, d, MO.linear_svm(0.01)))
 register("tree_fit")(lambda s, d: fit_predict(s, d, MO.decision_tree(5)))
@@ -105,7 +111,7 @@ register("tree_fit")(lambda s, d: fit_predict(s, d, MO.decision_tree(5)))
 @register("adaboost_fit")
 def adaboost_fit(s, d):
     tr, te = train_test(s, d)
-    return MO.adaboost_samme(recipe(), tr, te, "id", "status_group", LV, rounds=4, depth=2)
+    return MO.adaboost_samme(recipe(), tr, te, "id", "status_group", LV, rounds=ROUNDS, depth=2)
 
 
 @register("bind_predictions")
@@ -130,53 +136,75 @@ def model_roundtrip(s, d):
     return a.join(b, "id").withColumn("same", F.col("pred_before") == F.col("pred_after"))
 
 
-GRID_RANGES = {"mtry": (1.0, 5.0), "min_n": (2.0, 40.0)}
+# The reference's ranges (03_analysis.R); learn_rate is given in log10.
+POINTS, FOLDS = 10, 5
+GRIDS = {
+    "random_forest": MO.latin_hypercube(
+        {"mtry": (5, 15), "trees": (500, 1000), "min_n": (2, 10)}, POINTS, 123, integer=["mtry", "trees", "min_n"]),
+    "boosted_trees": MO.latin_hypercube(
+        {"trees": (500, 1000), "tree_depth": (3, 8), "learn_rate": (-2, -1)}, POINTS, 123, integer=["trees", "tree_depth"],
+        log10=["learn_rate"]),
+}
+MAKE = {
+    "random_forest": lambda mtry, trees, min_n: MO.random_forest(trees, mtry, min_n),
+    "boosted_trees": lambda trees, tree_depth, learn_rate: MO.boosted_trees(trees, tree_depth, learn_rate),
+}
 
 
-def _tuned(tr):
-    folds = WI.vfold_assign(tr, "status_group", "id", 3, 123)
-    grid = MO.latin_hypercube(GRID_RANGES, 3, 123, integer=["mtry", "min_n"])
+def _tuned(folds):
+    """Metrics of both families: (model, param_id, fold, metric, estimate)."""
+    forest, boosted = (
+        MO.tune_grid(recipe(), MAKE[name], GRIDS[name], folds, "fold", "id", "status_group", LV, name) for name in GRIDS)
+    return forest.unionByName(boosted)
 
-    def make(mtry, min_n):
-        return MO.random_forest(8, mtry, min_n)
 
-    return make, grid, MO.tune_grid(recipe(), make, grid, folds, "fold", "id", "status_group", LV, "random_forest")
+def _finalists(metrics, train):
+    """(family, best point, model refitted on all training rows) of each family."""
+    metrics = _ckpt(metrics)
+    for name in GRIDS:
+        res = metrics.where(F.col("model") == name)
+        yield name, MO.select_best(res).first(), MO.finalize_and_fit(recipe(), MAKE[name], GRIDS[name], res, train)
 
 
 def tune(s, d):
-    return _tuned(train_test(s, d)[0])[2]
+    return _tuned(WI.vfold_assign(train_test(s, d)[0], "status_group", "id", FOLDS, 123))
 
 
 register("tune_metrics")(tune)
-register("select_best")(lambda s, d: MO.select_best(tune(s, d), "accuracy"))
+
+
+@register("select_best")
+def select_best(s, d):
+    """The best point of each family."""
+    res = _ckpt(tune(s, d))
+    forest, boosted = (MO.select_best(res.where(F.col("model") == name), "accuracy") for name in GRIDS)
+    return forest.unionByName(boosted)
 
 
 @register("refit_best")
 def refit_best(s, d):
-    """Tuning, then one fit on all training rows with the parameters it chose."""
+    """Tuning, then one fit per family on all training rows with the parameters it chose."""
     tr, te = train_test(s, d)
-    make, grid, res = _tuned(tr)
-    return MO.predict(MO.finalize_and_fit(recipe(), make, grid, _ckpt(res), tr), te, "id", "status_group", LV)
+    res = _tuned(WI.vfold_assign(tr, "status_group", "id", FOLDS, 123))
+    forest, boosted = (
+        MO.predict(m, te, "id", "status_group", LV).withColumn("model", F.lit(name)) for name, _, m in _finalists(res, tr))
+    return forest.unionByName(boosted)
 
 
 @register("nested_cv")
 def nested_cv(s, d):
-    """Outer folds by hash; inside each, a small tuning over inner folds,
-    then the best point refitted and scored on the outer fold."""
-    o = _ckpt(WI.vfold_assign_hash(B.order_sites(s, d), "id", 3, 7, "outer"))
-    grid = MO.latin_hypercube(GRID_RANGES, 2, 123, integer=["mtry", "min_n"])
+    """Outer folds by hash; inside each, the whole tuning over inner folds,
+    then each family's best point refitted and scored on the outer fold."""
+    o = _ckpt(WI.vfold_assign_hash(B.order_sites(s, d), "id", FOLDS, 7, "outer"))
     rows = []
-    for k in range(3):
-        inner = WI.vfold_assign_hash(o.where(F.col("outer") != k), "id", 2, 11, "fold")
-        res = MO.tune_grid(recipe(), lambda mtry, min_n: MO.random_forest(5, mtry, min_n), grid, inner, "fold", "id",
-                           "status_group", LV, "random_forest")
-        best = MO.select_best(res).first()
-        params = grid[best["param_id"]]
-        m = MO.fit(recipe(), MO.random_forest(5, **params), o.where(F.col("outer") != k))
-        pr = MO.predict(m, o.where(F.col("outer") == k), "id", "status_group", LV)
-        acc = pr.agg(F.avg((F.col("truth") == F.col("pred")).cast("double"))).first()[0]
-        rows.append((k, int(best["param_id"]), "accuracy", float(acc)))
-    return s.createDataFrame(rows, "outer_fold int, best_param_id int, metric string, estimate double")
+    for k in range(FOLDS):
+        train = o.where(F.col("outer") != k)
+        res = _tuned(WI.vfold_assign_hash(train, "id", FOLDS, 11, "fold"))
+        for name, best, m in _finalists(res, train):
+            pr = MO.predict(m, o.where(F.col("outer") == k), "id", "status_group", LV)
+            acc = pr.agg(F.avg((F.col("truth") == F.col("pred")).cast("double"))).first()[0]
+            rows.append((k, name, int(best["param_id"]), "accuracy", float(acc)))
+    return s.createDataFrame(rows, "outer_fold int, model string, best_param_id int, metric string, estimate double")
 
 
 def _importance(s, d):
@@ -198,7 +226,7 @@ def shapley_mean_abs(s, d):
 def shapley_sampled(s, d):
     tr, te = train_test(s, d)
     m = MO.fit(recipe(), MO.random_forest(10, 3, 2), tr)
-    return MO.shapley_sampled(m, te, tr, FEATURES, "id", LV, samples=4)
+    return MO.shapley_sampled(m, te, tr, FEATURES, "id", LV, samples=SAMPLES)
 
 
 def _rated(s, d):
@@ -238,6 +266,6 @@ def ensemble_models(s, d):
     from sitewise.operators.metrics import ensemble_average
 
     tr, te = train_test(s, d)
-    a = MO.predict(MO.fit(recipe(), MO.random_forest(10, 3, 2), tr), te, "id", "status_group", LV)
-    b = MO.predict(MO.fit(recipe(), MO.boosted_trees(3, 2, 0.1), tr), te, "id", "status_group", LV)
+    a = MO.predict(MO.fit(recipe(), MO.random_forest(**FOREST), tr), te, "id", "status_group", LV)
+    b = MO.predict(MO.fit(recipe(), MO.boosted_trees(**BOOSTED), tr), te, "id", "status_group", LV)
     return ensemble_average(a, b, "id", MO.prob_names(LV))

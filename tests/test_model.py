@@ -152,3 +152,27 @@ def test_report_rollup_keeps_real_nulls(spark):
     assert got[("r1", "trend", None, 2002)] == (1, None)
     assert got[("r2", "headline", None, None)] == (1, 0.0)
     assert len(out) == (1 + 3 + 3) + (1 + 1 + 1)
+
+
+def test_registered_tuning_is_the_whole_job(spark, monkeypatch):
+    """Two families, 10 points, 5 folds, the reference's ranges; run with small
+    models on few rows, each point's parameters recorded."""
+    from conftest import SF_SMALL
+    from sitewise.plans import bindings as B
+    from sitewise.plans import q_model as Q
+
+    assert MO.random_forest().getMaxDepth() == 30
+    asked = []
+    small = {"random_forest": lambda **p: asked.append(("random_forest", p)) or MO.decision_tree(1),
+             "boosted_trees": lambda **p: asked.append(("boosted_trees", p)) or MO.decision_tree(2)}
+    monkeypatch.setattr(Q, "MAKE", small)
+    sites = B.order_sites(spark, SF_SMALL).limit(400).localCheckpoint()
+    monkeypatch.setattr(B, "order_sites", lambda s, d: sites)
+    res = Q.tune(spark, SF_SMALL).groupBy("model").count().collect()
+    assert {r["model"]: r["count"] for r in res} == {"random_forest": 150, "boosted_trees": 150}
+    assert len(asked) == 100
+    ranges = {"random_forest": {"mtry": (5, 15), "trees": (500, 1000), "min_n": (2, 10)},
+              "boosted_trees": {"trees": (500, 1000), "tree_depth": (3, 8), "learn_rate": (0.01, 0.1)}}
+    for name, p in asked:
+        assert set(p) == set(ranges[name])
+        assert all(lo <= p[k] <= hi for k, (lo, hi) in ranges[name].items())
