@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,19 +113,19 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def context(text: str, start: int, end: int, n: int = CONTEXT) -> set[str]:
-    """Terms within n words of a span."""
-    left = list(_TERM.finditer(text, 0, start)) if start < 400 else None
-    if left is None:
-        a = start - 40 * n
-        while a > 0 and _TERM.match(text[a - 1]):
-            a -= 1
-        left = list(_TERM.finditer(text, a, start))
-    near = [m[0] for m in left[-n:]]
-    for i, m in enumerate(_TERM.finditer(text, end)):
-        if i == n:
-            break
-        near.append(m[0])
+def term_spans(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the terms."""
+    spans = [m.span() for m in _TERM.finditer(text)]
+    return [a for a, _ in spans], [b for _, b in spans]
+
+
+def context(text: str, terms: tuple[list[int], list[int]], start: int, end: int, n: int = CONTEXT) -> set[str]:
+    """Terms within n words of a span, however far away; of a term that reaches
+    into the span, the part outside."""
+    starts, ends = terms
+    left, right = bisect_left(starts, start), bisect_right(ends, end)
+    near = [text[starts[i] : min(ends[i], start)] for i in range(max(0, left - n), left)]
+    near += [text[max(starts[i], end) : ends[i]] for i in range(right, min(right + n, len(ends)))]
     return {fold(t) for t in near}
 
 
@@ -154,8 +155,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[f"n_{k}"].append(sum(s[0] == k for s in spans))
             out["base"].append(shown(spans))
             near: dict[str, set[str]] = {}
+            terms = term_spans(text) if spans else ([], [])
             for k, a, b in spans:
-                near.setdefault(name(text, k, a, b), set()).update(context(text, a, b))
+                near.setdefault(name(text, k, a, b), set()).update(context(text, terms, a, b))
             out["near"].append([{"entity": e, "terms": sorted(t)} for e, t in near.items()])
         yield pa.RecordBatch.from_pydict(out, schema=_FOUND_ARROW)
 

@@ -193,6 +193,18 @@ def test_an_entity_of_one_text_is_disclosed_by_its_rare_neighbours(spark):
     assert some > 20
 
 
+def test_neighbours_are_found_at_any_distance(spark):
+    far = "one two three four five six seven eight nine " + "12 34 . " * 100
+    text = "0 " * 300 + far + "jo@mail.example.org" + " 5 -" * 300 + " ten"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    near = pii._keyed(docs).mapInArrow(pii._find, pii._FOUND).first()["near"]
+    assert set(near[0]["terms"]) == {"two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"}
+    for t in ("a éb@c.org d", "a b@c.orgé d", "+1 555 123 4567x y"):
+        (_, a, b), *_ = pii.entities(t)
+        want = [m for side in (t[:a], t[b:]) for m in re.findall("[A-Za-z\x80-\U0010ffff]+", side)]
+        assert pii.context(t, pii.term_spans(t), a, b) == set(want)
+
+
 def test_an_entity_of_all_documents_is_not_disclosed(spark):
     rows = [(i, f"{'even' if i % 2 else 'odd'} jo@mail.example.org here") for i in range(40)] + [(40, "here and here jo@mail.example.org")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
