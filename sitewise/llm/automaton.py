@@ -45,9 +45,7 @@ from pyspark.sql import functions as F
 # The pre-split pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 256  # bytes; longer pieces are walked one by one
-KEEP = 100_000  # pieces in each of a task's two generations
-ROWS = 500  # texts encoded together
-START = 0
+SIZE = 1 << 21  # characters of texts encoded together
 
 
 def byte_letters() -> dict[str, int]:
@@ -188,26 +186,35 @@ class Automaton:
         c = self.column_of[label]
         return (self.arcs[state, c >> 3] >> (c & 7)) & 1 == 1
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece; pieces of LONG bytes or less are walked together."""
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, number of ids of each piece). Pieces of
+        LONG bytes or less are walked together."""
         size = np.array([len(p) for p in pieces], np.int64)
-        out: list[list[int]] = [[]] * len(pieces)
         order = np.argsort(-size, kind="stable")
+        order = order[: int((size > 0).sum())]
         n_long = int((size > LONG).sum())
-        for i in order[:n_long].tolist():
-            out[i] = self._one(pieces[i])
+        found = [(np.full(len(ids), i), np.arange(len(ids), 0, -1), np.array(ids, np.int32))
+                 for i in order[:n_long].tolist() for ids in [self._one(pieces[i])]]
         order = order[n_long:]
-        order = order[: int((size[order] > 0).sum())]
-        if not len(order):
-            return out
-        length = size[order]
-        buf = np.frombuffer(b"".join(pieces[i] for i in order.tolist()), np.uint8)
+        if len(order):
+            length = size[order]
+            buf = np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8)
+            found += [(order[live], np.full(len(live), back), label) for back, (live, label) in enumerate(self._walk(buf, length))]
+        count = np.zeros(len(pieces), np.int64)
+        if not found:
+            return np.empty(0, np.int32), count
+        piece, back, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        # the walk is read from the end: higher steps back stand first
+        return ids[np.lexsort((-back, piece))], np.bincount(piece, minlength=len(pieces))
+
+    def _walk(self, buf: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Walks pieces that lie one after the other, sorted by falling length;
+        yields (piece, label) of the last labels, then of those before them, ..."""
         begin = np.cumsum(length) - length
-        slot = begin + np.arange(len(order))  # one slot more than bytes in each piece
-        last = np.full(len(buf) + len(order), -1, np.int32)
+        slot = begin + np.arange(len(length))  # one slot more than bytes in each piece
+        last = np.full(len(buf) + len(length), -1, np.int32)
         state = np.zeros(len(last), np.int32)
         for j in range(int(length[0])):
-            # pieces are sorted by falling length: those that go on are the first ones
             live = np.arange(int(np.searchsorted(-length, -j, side="left")))
             here = state[slot[live] + j]
             node = self.first[buf[begin[live] + j]]
@@ -228,26 +235,14 @@ class Automaton:
                 i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 on = self.keys[i] == key
                 live, here, node = live[on], here[on], self.nodes[i[on]]
-        for i, ids in zip(order.tolist(), self._read_back(last, slot, length), strict=True):
-            out[i] = ids
-        return out
-
-    def _read_back(self, last: np.ndarray, slot: np.ndarray, length: np.ndarray) -> Iterator[list[int]]:
-        end, live, found = length.copy(), np.arange(len(length)), []
+        end, live = length.copy(), np.arange(len(length))
         while len(live):
             label = last[slot[live] + end[live]]
             if (label < 0).any():
                 raise ValueError("a position that no label reaches")
-            found.append((live, label))
+            yield live, label
             end[live] -= self.length[label]
             live = live[end[live] > 0]
-        piece = np.concatenate([p for p, _ in found])
-        turn = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
-        ids = np.concatenate([x for _, x in found])[np.lexsort((-turn, piece))].tolist()
-        a = 0
-        for n in np.bincount(piece, minlength=len(length)).tolist():
-            yield ids[a : a + n]
-            a += n
 
     def _one(self, piece: bytes) -> list[int]:
         """The same walk for one long piece, in plain Python."""
@@ -299,23 +294,26 @@ def odd_code_points(path: str) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts by an automaton; pieces seen lately are kept."""
+    """Encodes texts by an automaton. Equal pieces of a batch are walked once;
+    nothing is kept from one batch to the next."""
+
+    def __init__(self, automaton: Automaton):
+        import re
 
-    def __init__(self, automaton: Automaton, keep: int = KEEP):
         import regex
 
-        self.auto, self.keep = automaton, keep
+        self.auto = automaton
         self.split = regex.compile(PATTERN).findall
+        white = " \\t-\\r"  # the same pattern where all characters are ASCII
+        ascii_only = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{white}A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        self.split_ascii = re.compile(ascii_only.replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]")).findall
         self.special = regex.compile("|".join(sorted(map(regex.escape, automaton.added), key=len, reverse=True))) if automaton.added else None
         self.odd = np.zeros(0x110000, bool)
         self.odd[automaton.odd] = True
-        self.number = list(range(len(automaton.labels)))  # one object for each id
-        # piece -> (ids, the ids as text); the older generation goes when the newer is full
-        self.new: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.shown = list(map(str, range(len(automaton.labels))))
 
     def pieces(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
+        if self.special is None or not any(t in text for t in self.auto.added):
             return self._plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -325,47 +323,42 @@ class Encoder:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            odd = self.odd[points]
-            if odd.any():
-                # split as if they were signs, then read the pieces from the text itself
-                points = np.where(odd, np.uint32(33), points)
-                out, at = [], 0
-                for p in self.split(points.astype("<u4").tobytes().decode("utf-32-le")):
-                    out.append(text[at : at + len(p)])
-                    at += len(p)
-                return out
-        return self.split(text)
-
-    def learn(self, missing: set[str]) -> None:
-        if len(self.new) + len(missing) > self.keep:
-            self.old, self.new = self.new, {}
-        fresh = []
-        for p in missing:
-            known = self.old.get(p)
-            if known is not None:
-                self.new[p] = known
-            elif p in self.auto.added:
-                i = self.auto.added[p]
-                self.new[p] = ((i,), str(i))
-            else:
-                fresh.append(p)
-        number = self.number.__getitem__
-        for p, ids in zip(fresh, self.auto.encode_pieces([p.encode() for p in fresh]), strict=True):
-            self.new[p] = (tuple(map(number, ids)), ",".join(map(str, ids)))
-
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """(ids, ids as text joined by commas) of each text."""
+        if text.isascii():
+            return self.split_ascii(text)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        odd = self.odd[points]
+        if not odd.any():
+            return self.split(text)
+        # split as if they were signs, then read the pieces from the text itself
+        out, at = [], 0
+        for p in self.split(np.where(odd, np.uint32(33), points).astype("<u4").tobytes().decode("utf-32-le")):
+            out.append(text[at : at + len(p)])
+            at += len(p)
+        return out
+
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text."""
         split = [self.pieces(t) for t in texts]
-        every = set(chain.from_iterable(split))
-        if missing := every.difference(self.new):
-            if len(self.new) + len(missing) > self.keep:
-                missing = every  # the generations change: all pieces of the batch go to the new one
-            self.learn(missing)
-        for p in split:
-            found = list(map(self.new.__getitem__, p))
-            yield list(chain.from_iterable(f[0] for f in found)), ",".join([f[1] for f in found])
+        every = dict.fromkeys(chain.from_iterable(split))
+        # an added token that was cut out is one label; as a piece it cannot come from the pattern
+        added = [p for p in every if p in self.auto.added]
+        plain = [p for p in every if p not in self.auto.added] if added else list(every)
+        ids, count = self.auto.encode_pieces([p.encode() for p in plain])
+        ids = np.concatenate([ids, np.array([self.auto.added[p] for p in added], np.int32)])
+        count = np.concatenate([count, np.ones(len(added), np.int64)])
+        begin = np.cumsum(count) - count
+        every.update(zip(chain(plain, added), range(len(every))))
+        piece = np.fromiter(map(every.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        n = count[piece]
+        end = np.cumsum(n)
+        out = ids[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin[piece] - end + n, n)]
+        upto = np.concatenate([[0], end])[np.cumsum([0, *map(len, split)])].tolist()
+        for a, b in zip(upto[:-1], upto[1:], strict=True):
+            yield out[a:b].tolist()
+
+    def show(self, ids: list[int]) -> str:
+        """The ids as decimals joined by commas."""
+        return ",".join(map(self.shown.__getitem__, ids))
 
 
 def compile_automaton(path: str) -> Automaton:
@@ -377,6 +370,18 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sh
 _IDS = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have SIZE bytes or less together, or one text."""
+    for batch in batches:
+        size = np.array([len(t) if t else 0 for t in batch.column("text").to_pylist()], np.int64)
+        run = np.cumsum(size)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(run, run[a] - size[a] + SIZE, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _rows(shared, schema: pa.Schema):
     full = schema is _IDS
 
@@ -384,15 +389,13 @@ def _rows(shared, schema: pa.Schema):
         auto = shared.value
         enc = Encoder(auto)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                got = []
-                for doc, (ids, shown) in zip(part.column("doc_id").to_pylist(), enc.encode_batch(texts), strict=True):
-                    back = auto.decode(ids)
-                    got.append((doc, ids, back) if full else (doc, len(ids), sha(shown), sha(back)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
+        for part in _parts(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            got = []
+            for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(texts), strict=True):
+                back = auto.decode(ids)
+                got.append((doc, ids, back) if full else (doc, len(ids), sha(enc.show(ids)), sha(back)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
 
     return run
 

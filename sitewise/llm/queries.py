@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import chat, decontaminate, hmm, ngram_join, ordinal, pieces, pii, secrets_forest, sharding, winnowing
+from sitewise.llm import automaton, chat, decontaminate, hmm, lexical, ngram_join, ordinal, pieces, pii, secrets_forest, sharding, winnowing
 from sitewise.llm.tables import read, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,18 @@ def op10_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = ordinal.fit_documents(docs, ordinal.ratings_of(read(spark, sf_dir, "labels")), levels=3)
     return ordinal.score_documents(docs, model, keep_grade=2, level=0.6).drop("text")
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    """The 10 best documents of each benchmark item."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
+
+
+ORACLES["op11_lexical_search"] = lexical.ORACLE
+
+
+@query
+def op13_bpe(spark, sf_dir):
+    compiled = automaton.compile_automaton(tokenizer("byte_bpe_50k.json"))
+    return automaton.encode_digests(read(spark, sf_dir, "documents"), compiled)
