@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import automaton, chat, decontaminate, hmm, lexical, ngram_join, ordinal, pieces, pii, secrets_forest, sharding, winnowing
+from sitewise.llm import automaton, chat, decontaminate, hmm, lexical, ngram_join, ordinal, pieces, pii, prefix_trie, secrets_forest, sharding, winnowing
 from sitewise.llm.tables import read, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,14 @@ def op11_lexical_search(spark, sf_dir):
 ORACLES["op11_lexical_search"] = lexical.ORACLE
 
 
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.ORACLE
+
+
 @query
 def op13_bpe(spark, sf_dir):
     compiled = automaton.compile_automaton(tokenizer("byte_bpe_50k.json"))
