@@ -157,16 +157,16 @@ def test_report_rollup_keeps_real_nulls(spark):
 def test_registered_tuning_is_the_whole_job(spark, monkeypatch):
     """Two families, 10 points, 5 folds, the reference's ranges; run with small
     models on few rows, each point's parameters recorded."""
-    from conftest import SF_SMALL
     from sitewise.plans import bindings as B
     from sitewise.plans import q_model as Q
+    from tests.tables import SF_SMALL
 
     assert MO.random_forest().getMaxDepth() == 30
     asked = []
     small = {"random_forest": lambda **p: asked.append(("random_forest", p)) or MO.decision_tree(1),
              "boosted_trees": lambda **p: asked.append(("boosted_trees", p)) or MO.decision_tree(2)}
     monkeypatch.setattr(Q, "MAKE", small)
-    sites = B.order_sites(spark, SF_SMALL).limit(400).localCheckpoint()
+    sites = B.order_sites(spark, SF_SMALL).limit(400).checkpoint()
     monkeypatch.setattr(B, "order_sites", lambda s, d: sites)
     res = Q.tune(spark, SF_SMALL).groupBy("model").count().collect()
     assert {r["model"]: r["count"] for r in res} == {"random_forest": 150, "boosted_trees": 150}

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tests.tables import SF_SMALL
 from tools.oracle_check import TABLES, rows_of
 
 ORACLES = E.oracle_sql()
