@@ -3,16 +3,27 @@
 A text is normalised as the model says (spaces become U+2581, one is put in
 front), cut into symbols of one character, and adjacent pairs that form a piece
 wait in an agenda ordered by score, then by position. The best pair is merged,
-its neighbours join the agenda, entries whose symbols changed are skipped.
-Characters outside the vocabulary become their byte pieces.
+its neighbours join the agenda. Characters outside the vocabulary become their
+byte pieces.
 
 Merges cannot cross two adjacent characters that no piece contains side by
 side. The class proves from the vocabulary that none holds U+2581 after another
 character, and whether the line feed is alone, and cuts the text there; equal
-chunks then have equal ids and are kept in a bounded table.
+chunks of a batch then have equal ids and are encoded once. Symbols are numbers
+and a pair is looked up in a table of all two-part splits of the pieces. Chunks
+of up to ``SHORT`` characters have their agendas side by side as rows of an
+array, the best pair of each row is merged at each step; longer chunks have a
+heap. Nothing is kept from one batch to the next.
 
-Every chunk that is encoded is checked against the sentencepiece library, all of
-a text in one call, as is one whole text per batch; a difference raises.
+All chunks that are encoded are checked against the sentencepiece library in
+blocks, as is one whole text per batch; for a model without such cuts every
+whole text is. A difference raises.
+
+Defined cases: a null text is the empty text (the end id alone, decoded as
+empty); rows without doc_id and repeated rows are encoded like others, one
+output row each; an empty table gives an empty table; extra columns are not
+read; texts of any length are encoded whole. Models with unused pieces or a
+normaliser that changes white space are refused.
 """
 
 from __future__ import annotations
@@ -23,130 +34,238 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEEP = 300_000  # chunks in each of a worker's two generations
+SHORT = 48  # characters; longer chunks have a heap
+CELLS = 1 << 18  # symbols of short chunks worked on together
+BLOCK = 1 << 16  # characters given to the library at once
+SIZE = 1 << 21  # characters of texts encoded together
+_NONE = np.iinfo(np.int32).max
+_PAD = -1
+
+
+def _ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], .., begin[0] + n[0] - 1, begin[1], .."""
+    return np.arange(int(n.sum())) + np.repeat(begin - np.cumsum(n) + n, n)
 
 
 class MergeEncoder:
-    def __init__(self, model: str, keep: int = KEEP):
+    def __init__(self, model: str):
         from sentencepiece import SentencePieceProcessor
 
         self.lib = sp = SentencePieceProcessor(model_file=model)
-        self.keep = keep
-        self.score, self.id, self.byte, self.unused = {}, {}, {}, set()
+        score, self.id, self.byte = {}, {}, {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
-                self.score[piece], self.id[piece] = sp.get_score(i), i
                 if sp.is_unused(i):
-                    self.unused.add(piece)
-        if self.unused:
-            raise ValueError("models with unused pieces are not supported")
+                    raise ValueError("models with unused pieces are not supported")
+                score[piece], self.id[piece] = sp.get_score(i), i
         probe = sp.id_to_piece(sp.encode("  a  b "))
         if probe[:1] != [SPACE * 2] or probe[-1:] != [SPACE]:
             raise ValueError("the model's normaliser changes white space")
         pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.cuts = not any(b == SPACE != a for a, b in pairs)
-        alone = not any("\n" in p for p in pairs) and self.cuts
-        self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.cuts else "(?s:.+)")
-        # chunk -> ids, and the ids as text; the older generation is dropped when the newer is full
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        cuts = not any(b == SPACE != a for a, b in pairs)
+        self.alone = not any("\n" in p for p in pairs) and cuts
+        self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cuts else "(?s:.+)")
         self.eos = sp.eos_id()
+        self._feed = sp.encode("\n")[len(sp.encode("")) :][-len(sp.encode("a\n")) + len(sp.encode("a")) :]
+        self.shown = list(map(str, range(sp.get_piece_size())))
+        self._tables(score)
+
+    def _tables(self, score: dict[str, float]) -> None:
+        """Numbers of symbols (pieces and their characters) and the pair table:
+        (left, right) -> (rank of the merged piece, its number)."""
+        self.symbols = list(dict.fromkeys(chain(self.id, chain.from_iterable(self.id))))
+        number = {s: i for i, s in enumerate(self.symbols)}
+        levels = {v: i for i, v in enumerate(sorted(set(score.values()), reverse=True))}
+        self.pair = {}
+        for piece in self.id:
+            for i in range(1, len(piece)):
+                if (x := number.get(piece[:i])) is not None and (y := number.get(piece[i:])) is not None:
+                    self.pair[x << 32 | y] = (levels[score[piece]], number[piece])
+        keys = np.fromiter(self.pair, np.int64, len(self.pair))
+        order = np.argsort(keys)
+        # the last key is greater than any pair's
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        values = np.array(list(self.pair.values()), np.int32).reshape(-1, 2)[order]
+        self.rank, self.to = np.append(values[:, 0], _NONE).astype(np.int32), np.append(values[:, 1], _PAD)
+        # a character outside the vocabulary is the number of symbols plus its code point
+        self.of_char = np.arange(0x110000, dtype=np.int32) + len(self.symbols)
+        for s, i in number.items():
+            if len(s) == 1:
+                self.of_char[ord(s)] = i
+        self.id_of = np.array([self.id.get(s, -1) for s in self.symbols], np.int32)
+
+    def _find(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places in the pair table; the last place for pairs that form no piece."""
+        key = x.astype(np.int64) << 32 | y.astype(np.int64)
+        at = np.searchsorted(self.keys, key)
+        at[self.keys[at] != key] = len(self.keys) - 1
+        return at
+
+    def _rows(self, sym: np.ndarray, row: np.ndarray):
+        """Merges the rows of sym (padded at the right) side by side; yields
+        (row, symbols) of those whose agenda is empty."""
+        rank = np.full((len(sym), max(sym.shape[1] - 1, 1)), _NONE, np.int32)
+        if sym.shape[1] > 1:
+            real = np.flatnonzero(sym[:, 1:].ravel() != _PAD)
+            left, right = sym[:, :-1].ravel()[real], sym[:, 1:].ravel()[real]
+            rank.ravel()[real] = self.rank[self._find(left, right)]
+        while len(sym):
+            at = rank.argmin(axis=1)  # the first of the best: the leftmost
+            line = np.arange(len(sym))
+            on = rank[line, at] != _NONE
+            if not on.all():
+                yield row[~on], sym[~on]
+                sym, rank, row, at = sym[on], rank[on], row[on], at[on]
+                line = np.arange(len(sym))
+                if not len(sym):
+                    return
+            new = self.to[self._find(sym[line, at], sym[line, at + 1])]
+            # the pair becomes one symbol: what follows moves by one
+            width = sym.shape[1] - 1
+            cols = np.arange(width)
+            sym = np.take_along_axis(sym, cols + (cols > at[:, None]), axis=1)
+            sym[line, at] = new
+            if width == 1:
+                yield row, sym
+                return
+            cols = cols[:-1]
+            rank = np.take_along_axis(rank, cols + (cols > at[:, None]), axis=1)
+            for side in (at - 1, at):
+                ok = np.flatnonzero((side >= 0) & (side < width - 1))
+                left, right = sym[ok, side[ok]], sym[ok, side[ok] + 1]
+                value = np.full(len(ok), _NONE, np.int32)
+                real = right != _PAD
+                value[real] = self.rank[self._find(left[real], right[real])]
+                rank[ok, side[ok]] = value
 
-    def merge(self, chunk: str) -> tuple[int, ...]:
-        """Ids of one chunk by the agenda."""
-        score, get = self.score, self.score.get
-        n = len(chunk)
-        if n == 1:
-            return self._ids((chunk,))
-        sym: list[str | None] = list(chunk)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = chunk[i : i + 2]
-            if pair in score:
-                agenda.append((-score[pair], i, i + 1, pair))
+    def _heap(self, sym: list[int]) -> list[int]:
+        """Symbols of one long chunk, merged by an agenda on a heap; entries whose
+        symbols changed are skipped."""
+        get, n = self.pair.get, len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(e[0], i, i + 1, k, e[1]) for i in range(n - 1) if (e := get(k := sym[i] << 32 | sym[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, a, b, piece = heapq.heappop(agenda)
-            x, y = sym[a], sym[b]
-            if x is None or y is None or len(x) + len(y) != len(piece) or after[a] != b:
+            _, a, b, key, new = heapq.heappop(agenda)
+            if sym[a] < 0 or sym[b] < 0 or after[a] != b or sym[a] << 32 | sym[b] != key:
                 continue
-            sym[a], sym[b] = piece, None
+            sym[a], sym[b] = new, _PAD
             c = after[a] = after[b]
             if c < n:
                 before[c] = a
-                pair = piece + sym[c]
-                if (s := get(pair)) is not None:
-                    heapq.heappush(agenda, (-s, a, c, pair))
+                if (e := get(k := new << 32 | sym[c])) is not None:
+                    heapq.heappush(agenda, (e[0], a, c, k, e[1]))
             p = before[a]
-            if p >= 0:
-                pair = sym[p] + piece
-                if (s := get(pair)) is not None:
-                    heapq.heappush(agenda, (-s, p, a, pair))
-        return self._ids(x for x in sym if x is not None)
-
-    def _ids(self, symbols) -> tuple[int, ...]:
-        out = []
-        for s in symbols:
-            i = self.id.get(s)
-            if i is not None:
-                out.append(i)
-            elif self.byte:
-                out += [self.byte[b] for b in s.encode()]
-            else:
-                out.append(self.lib.unk_id())
-        return tuple(out)
+            if p >= 0 and (e := get(k := sym[p] << 32 | new)) is not None:
+                heapq.heappush(agenda, (e[0], p, a, k, e[1]))
+        return [x for x in sym if x != _PAD]
+
+    def merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in order, number of ids of each) by the agenda."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        every = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")]
+        begin = np.cumsum(size) - size
+        rows, syms = [], []
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out = self._heap(every[begin[i] : begin[i] + size[i]].tolist())
+            rows.append(np.full(len(out), i))
+            syms.append(np.array(out, np.int32))
+        order = np.argsort(size, kind="stable")
+        order = order[(size[order] <= SHORT) & (size[order] > 0)]
+        a = 0
+        while a < len(order):
+            b = min(len(order), a + CELLS // int(size[order[min(len(order), a + CELLS // int(size[order[a]])) - 1]]))
+            part = order[a:b]
+            a = b
+            n = size[part]
+            sym = np.full((len(part), int(n[-1])), _PAD, np.int32)
+            sym[np.arange(sym.shape[1]) < n[:, None]] = every[_ragged(begin[part], n)]
+            for row, done in self._rows(sym, part):
+                real = done != _PAD
+                rows.append(np.repeat(row, real.sum(axis=1)))
+                syms.append(done[real])
+        if not rows:
+            return np.empty(0, np.int32), np.zeros(len(chunks), np.int64)
+        row, sym = np.concatenate(rows), np.concatenate(syms)
+        order = np.argsort(row, kind="stable")  # symbols of a chunk stay in order
+        return self._ids(row[order], sym[order], len(chunks))
+
+    def _ids(self, row: np.ndarray, sym: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        known = sym < len(self.symbols)
+        ids = np.where(known, self.id_of[np.where(known, sym, 0)], -1).astype(np.int32)
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):
+            kinds, which = np.unique(sym[rare], return_inverse=True)
+            lists = []
+            for k in kinds.tolist():
+                raw = (self.symbols[k] if k < len(self.symbols) else chr(k - len(self.symbols))).encode()
+                lists.append([self.byte[b] for b in raw] if self.byte else [self.lib.unk_id()])
+            width = np.array([len(x) for x in lists])
+            times = np.ones(len(sym), np.int64)
+            times[rare] = width[which]
+            spread = np.repeat(ids, times)
+            flat = np.array(list(chain.from_iterable(lists)), np.int32)
+            spread[spread < 0] = flat[_ragged((np.cumsum(width) - width)[which], width[which])]
+            ids, row = spread, np.repeat(row, times)
+        return ids, np.bincount(row, minlength=n)
+
+    def check(self, chunks: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        """Compares chunks with the library, which gets them in blocks, a line
+        feed before each: no piece crosses it."""
+        first, feed = self.lib.encode("\n")[:-len(self._feed)], self._feed
+        end = np.cumsum(count)
+        size = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        a = 0
+        while a < len(chunks):
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BLOCK, side="right")))
+            theirs = np.array(self.lib.encode("\n" + "\n".join(chunks[a:b])), np.int32)
+            n = count[a:b] + len(feed)
+            at = np.cumsum(n) - n + len(first)
+            mine = np.empty(len(first) + int(n.sum()), np.int32)
+            mine[: len(first)] = first
+            mine[_ragged(at, np.full(b - a, len(feed)))] = np.tile(feed, b - a)
+            mine[_ragged(at + len(feed), count[a:b])] = ids[end[a] - count[a] : end[b - 1]]
+            if not np.array_equal(mine, theirs):
+                raise ValueError(f"differs from the library between {chunks[a]!r} and {chunks[b - 1]!r}")
+            a = b
 
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, missing: set[str]) -> None:
-        """Puts chunks into the table; those of neither generation are encoded
-        and checked against the library in one call."""
-        if len(self.ids) + len(missing) > self.keep:
-            self.old, self.ids, self.shown = self.ids, {}, {}
-        new = [c for c in missing if c not in self.old]
-        for c in missing.difference(new):
-            self.ids[c] = self.old[c]
-        mine = [self.merge(c) for c in new]
-        if self.cuts and new:
-            # a line feed before the chunk keeps the library's own first space apart from it
-            head = len(self.lib.encode("\n"))
-            theirs = [tuple(x[head:]) for x in self.lib.encode(["\n" + c for c in new], num_threads=1)]
-            if theirs != mine:
-                bad = next(c for c, a, b in zip(new, mine, theirs, strict=True) if a != b)
-                raise ValueError(f"differs from the library on {bad!r}")
-        self.ids.update(zip(new, mine, strict=True))
-        self.shown.update((c, " ".join(map(str, self.ids[c]))) for c in missing)
-
-    def encode_text(self, text: str) -> tuple[list[int], str]:
-        """(ids with the end id, the ids as text) of one text."""
-        chunks = self.chunks(text)
-        if missing := set(chunks).difference(self.ids):
-            if len(self.ids) + len(missing) > self.keep:
-                missing = set(chunks)  # the generations change: all of this text's chunks go to the new one
-            self.learn(missing)
-        ids = list(chain.from_iterable(map(self.ids.__getitem__, chunks)))
-        ids.append(self.eos)
-        return ids, " ".join([*map(self.shown.__getitem__, chunks), str(self.eos)])
-
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """encode_text of each; the library encodes the first text as well."""
-        for i, text in enumerate(texts):
-            out = self.encode_text(text)
-            if i == 0 and self.lib.encode(text) != out[0][:-1]:
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text, the end id last."""
+        cut = [self.chunks(t) for t in texts]
+        every = dict.fromkeys(chain.from_iterable(cut))
+        distinct = list(every)
+        ids, count = self.merge(distinct)
+        if self.alone:
+            self.check(distinct, ids, count)
+        begin = np.cumsum(count) - count
+        every.update(zip(distinct, range(len(distinct)), strict=True))
+        n_chunks = list(map(len, cut))
+        which = np.fromiter(map(every.__getitem__, chain.from_iterable(cut)), np.int64, sum(n_chunks))
+        n = count[which]
+        out = ids[_ragged(begin[which], n)]
+        upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *n_chunks])].tolist()
+        for i, (a, b) in enumerate(zip(upto[:-1], upto[1:], strict=True)):
+            got = out[a:b].tolist()
+            if (i == 0 or not self.alone) and self.lib.encode(texts[i]) != got:
                 raise ValueError("differs from the library on a whole text")
-            yield out
+            yield [*got, self.eos]
+
+    def show(self, ids: list[int]) -> str:
+        """The ids as decimals joined by one space."""
+        return " ".join(map(self.shown.__getitem__, ids))
 
 
 _worker: dict[str, MergeEncoder] = {}
@@ -162,24 +281,31 @@ _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _IDS = "doc_id long, token_ids array<int>, decoded string"
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have SIZE bytes or less together, or one text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        run = np.cumsum(size)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(run, run[a] - size[a] + SIZE, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _rows(model: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(model)
-        for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(docs), 500):
-                got = ([], [], []) if full else ([], [], [], [])
-                part = texts[a : a + 500]
-                for doc, (ids, shown) in zip(docs[a : a + 500], enc.encode_batch([t or "" for t in part]), strict=True):
-                    back = enc.lib.decode(ids)
-                    row = (doc, ids, back) if full else (
-                        doc, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                    for g, v in zip(got, row, strict=True):
-                        g.append(v)
-                types = (pa.int64(), pa.list_(pa.int32()), pa.string()) if full else (pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = ["doc_id", "token_ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                yield pa.RecordBatch.from_arrays([pa.array(g, t) for g, t in zip(got, types, strict=True)], names=names)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        types = (pa.int64(), pa.list_(pa.int32()), pa.string()) if full else (pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["doc_id", "token_ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        for part in _parts(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            got = []
+            for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(texts), strict=True):
+                back = enc.lib.decode(ids)
+                got.append((doc, ids, back) if full else (doc, len(ids), sha(enc.show(ids)), sha(back)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=names)
 
     return run
 

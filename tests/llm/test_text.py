@@ -66,16 +66,30 @@ def test_conversations_edges(spark):
 
 @pytest.fixture(scope="module")
 def merge():
-    return pieces.MergeEncoder(MODEL, keep=50)
+    return pieces.MergeEncoder(MODEL)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60) | st.lists(st.sampled_from(["the", " ", "  ", "\n", "ing", "▁", "é", ";\r", "\t", "0x", "<s>", "aaaa"]), max_size=25).map("".join))
 def test_pieces_equal_the_library(merge, text):
     text = text.encode("utf-8", "ignore").decode()
-    ids, shown = merge.encode_text(text)
-    want = merge.lib.encode(text) + [merge.eos]
-    assert ids == want and shown == " ".join(map(str, want))
+    texts = [text, "", text[::-1], text + " the"]
+    got = list(merge.encode_batch(texts))
+    assert got == [merge.lib.encode(t) + [merge.eos] for t in texts]
+    assert merge.show(got[0]) == " ".join(map(str, got[0]))
+
+
+def test_agendas_of_short_and_long_chunks_agree(merge, monkeypatch):
+    rng = random.Random(5)
+    chunks = ["".join(rng.choices("▁abeinorst0é中\U0001f642", k=rng.randint(1, 60))) for _ in range(300)] + ["a" * 5000, "中" * 200, "\n"]
+    side = merge.merge(chunks)
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    heap = merge.merge(chunks)
+    assert all(np.array_equal(x, y) for x, y in zip(side, heap, strict=True))
+    merge.check(chunks[-3:], *merge.merge(chunks[-3:]))
+    ids, count = merge.merge(["ab", "cd"])
+    with pytest.raises(ValueError, match="differs"):
+        merge.check(["ab", "ce"], ids, count)
 
 
 def test_pieces_on_tables(edge, empty, docs, merge):
