@@ -252,7 +252,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gone through in blocks against the rows that its sizes reach."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "gid", "n", "pos", "comp")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "gid", "n", "pos", "comp", "mixed")]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         token = cols[0]
@@ -274,15 +274,15 @@ def _cross_lists(cols) -> Iterator[pa.RecordBatch]:
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if b - a < 2:
             continue
-        gid, n, pos, comp = (c[a:b] for c in cols[1:])
-        if comp[0] >= 0 and (comp == comp[0]).all():
+        gid, n, pos, comp, mixed = (c[a:b] for c in cols[1:])
+        if not mixed.any() and (comp == comp[0]).all():
             continue
         for i in range(0, b - a, PAIR_BLOCK):
             rows = slice(i, i + PAIR_BLOCK)
             reach = int(np.searchsorted(n, n[rows][-1] * 100 // PERCENT, side="right"))
             for j in range(i, reach, PAIR_BLOCK):
                 x, y = np.arange(i, min(i + PAIR_BLOCK, b - a))[:, None], np.arange(j, min(j + PAIR_BLOCK, reach))[None, :]
-                ok = (x < y) & ((comp[x] != comp[y]) | (comp[x] < 0)) & (100 * n[x].astype(np.int64) >= PERCENT * n[y].astype(np.int64))
+                ok = (x < y) & ((comp[x] != comp[y]) | mixed[x] | mixed[y]) & (100 * n[x].astype(np.int64) >= PERCENT * n[y].astype(np.int64))
                 ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x].astype(np.int64), n[y].astype(np.int64))
                 p, q = np.nonzero(ok)
                 if len(p):
@@ -411,11 +411,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     members = checkpoint(_with_components(members, found))
     shown = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    shown = shown.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("gid")).alias("comp"))
-    mixed = shown.where("comp < 0").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
+    shown = shown.select("gid", F.col("lo").alias("comp"), (F.col("lo") != F.col("hi")).alias("mixed"))
+    mixed = shown.where("mixed").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
     crossed = lists.select("token", "gid", "n", "pos").join(shown, "gid")
     # lists of one component need no second look: a family of copies is not dealt out by its shingles
-    open_lists = crossed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    open_lists = crossed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mixed"))
+    open_lists = open_lists.where("lo <> hi or mixed").select("token")
     crossed = crossed.join(open_lists, "token", "left_semi")
     crossed = crossed.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(_cross, _PAIR).distinct()
     more = checkpoint(expand(crossed.unionByName(mixed), members, F.col("c1") != F.col("c2")))

@@ -102,6 +102,14 @@ def test_components_against_all_pairs(spark, seed):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+@pytest.mark.parametrize("shift", [-1, -60])
+def test_components_of_negative_ids(spark, shift):
+    """Ids around and below zero: no id is a mark of its group."""
+    rows = [(i + shift if shift < -1 else -1 - i, t) for i, t in families(4)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+
+
 def test_join_edges(edge, empty):
     got = ngram_join.link_documents(edge).collect()
     assert len(got) == edge.count()
