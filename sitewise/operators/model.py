@@ -16,7 +16,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from sitewise.session import checkpoint as _ckpt
 
 from sitewise.operators import metrics as ME
+from sitewise.operators.boosting import BoostedTrees
 
 
 # ---------------------------------------------------------------- recipe (M3-M8)
@@ -106,10 +106,9 @@ def random_forest(num_trees: int = 50, mtry: int | None = None, min_n: int = 1,
     )
 
 
-def boosted_trees(trees: int = 20, depth: int = 3, learn_rate: float = 0.1, seed: int = 123):
-    """Multiclass boosting as one-vs-rest GBTs (Spark's GBT is binary)."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=learn_rate, seed=seed),
-                     labelCol="label", featuresCol="features")
+def boosted_trees(trees: int = 20, depth: int = 3, learn_rate: float = 0.1):
+    """Multinomial boosting, all classes in one pass (Spark's GBT is binary)."""
+    return BoostedTrees(trees, depth, learn_rate)
 
 
 def logistic(reg: float = 0.0):
