@@ -1,39 +1,36 @@
 """Multinomial gradient boosting on histograms, all classes in one pass.
 
 Features are cut into at most ``max_bins`` bins once (one aggregate of quantile
-sketches) and written as one byte each. A round grows one tree per class on the
-softmax loss, level by level: every task sums gradients and Hessians per (node,
-feature, bin) of its rows, the sums of all tasks are added, and every task takes
-the same splits from them. Of two siblings only the lighter one is summed, the
-other is parent minus sibling.
-
-* The rounds run inside barrier stages, so a level costs one exchange of
-  histograms and not one job. What is exchanged grows with nodes x bins, not
-  with rows. ``SEGMENT`` rounds make one stage: a lost executor repeats at most
-  those, the scores before them are rebuilt from the trees found so far.
+sketches) and written as one byte each, in blocks of rows. A round grows one
+tree per class on the softmax loss, level by level: one narrow job sums
+gradients and Hessians per (node, feature, bin) of all classes; the sums, whose
+size depends on nodes and bins but not on rows, choose the splits. Of two
+siblings only the lighter one is summed, the other is parent minus sibling.
+
+* The rows never move: blocks with their scores are persisted and read block by
+  block. ``PENDING`` rounds later new scores are derived from the written bins
+  and all trees found so far, so a lost executor costs a recomputation of its
+  blocks and the lineage stays short. Blocks are per-partition numpy work on an
+  RDD, as a DataFrame job per level would spend most of its time on planning.
 * Gradients are rounded to multiples of 1 / ``SCALE`` and added as integers: the
   trees are the same whatever the partitioning and the order of rows.
-* A task keeps its share of the rows, one byte per feature, and one score per
-  class. At most ``MAX_TASKS`` tasks take part, as every task receives the
-  histograms of all others.
-* The driver holds the trees, nothing per row. Barrier stages need all their
-  slots at once and do not run under dynamic allocation.
+* The driver holds the trees and one level's sums. Beyond ``FAN_IN`` partitions
+  the sums are added on executors first.
 
 Edge cases: rows whose label is null or not in 0 .. classes - 1 are not learnt
 from; NaN and null features lie above every cut; a feature of one value is never
-split; no rows or no splits leave trees of one leaf, so all classes score alike;
-equal gains go to the first feature, then the lowest cut.
+split; no rows or no splits leave trees of one leaf; equal gains go to the first
+feature, then the lowest cut.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -42,14 +39,11 @@ from pyspark.sql import functions as F
 from sitewise.session import checkpoint
 
 SCALE = 1 << 24  # gradients are multiples of 1 / SCALE
-SEGMENT = 250  # rounds in one barrier stage
-MAX_TASKS = 64
-SENT = 1 << 22  # histogram cells that all tasks send at once
+PENDING = 25  # rounds between two renewals of the persisted scores
+FAN_IN = 64  # partitions whose sums the driver adds itself
 CHUNK = 1 << 16  # rows summed at once
 LEAST_GAIN = 1e-6
 
-NODE_SCHEMA = "round int, node int, feature int, bin int, left int, value double"
-
 
 # ---------------------------------------------------------------- bins
 
@@ -73,7 +67,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """(x array, y int) as (y, bins), one byte per feature."""
+    """(x array, y int) as blocks of rows: labels, and one byte per feature."""
     width = len(cuts)
 
     def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +76,11 @@ def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
             out = np.empty(x.shape, np.uint8)
             for i, c in enumerate(cuts):
                 out[:, i] = np.searchsorted(c, x[:, i], side="left")
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([r.tobytes() for r in out], pa.binary())], ["y", "bins"])
+                [pa.array([y.tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], ["y", "bins"])
 
-    return rows.mapInArrow(to_bins, "y int, bins binary")
+    return rows.mapInArrow(to_bins, "y binary, bins binary")
 
 
 class _Layout:
@@ -149,28 +144,44 @@ def _move(bins: np.ndarray, node: np.ndarray, feature: np.ndarray, cut: np.ndarr
         at[rows] = left[here] + (bins[rows, f[rows]] > cut[here])
 
 
-def _grow_round(layout: _Layout, bins: np.ndarray, y: np.ndarray, scores: np.ndarray, add, depth: int, rate: float,
-                l2: float, min_child: float):
-    """One tree per class; ``scores`` (classes, rows) are brought up to date.
-    ``add`` sums an array over all tasks. Nodes 0 .. classes - 1 are the roots,
-    a right child follows its left one. Returns feature, bin, left, value."""
-    classes, n = scores.shape
-    p = np.exp(scores - scores.max(axis=0, initial=-np.inf))
+def _leaves(bins: np.ndarray, classes: int, feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The node (classes, rows) in which each row ends."""
+    node = np.repeat(np.arange(classes)[:, None], len(bins), axis=1)
+    while (feature[node] >= 0).any():
+        _move(bins, node, feature, cut, left)
+    return node
+
+
+def _raise_scores(bins: np.ndarray, scores: np.ndarray, rounds: list) -> None:
+    for feature, cut, left, value in rounds:
+        scores += value[_leaves(bins, len(scores), feature, cut, left)]
+
+
+def _gradients(y: np.ndarray, scores: np.ndarray):
+    p = np.exp(scores - scores.max(axis=0))
     p /= p.sum(axis=0)
     hess = np.rint(p * (1 - p) * SCALE)
-    p[y, np.arange(n)] -= 1
-    grad = np.rint(p * SCALE)
+    p[y, np.arange(len(y))] -= 1
+    return np.rint(p * SCALE), hess
+
 
-    node = np.repeat(np.arange(classes)[:, None], n, axis=1)
+def _grow_round(layout: _Layout, sums_of, classes: int, depth: int, rate: float, l2: float, min_child: float):
+    """One tree per class. ``sums_of(tree, nodes)`` gives the histograms of
+    ``nodes`` of the unfinished ``tree`` over all rows. Nodes 0 .. classes - 1
+    are the roots, a right child follows its left one. Returns feature, bin,
+    left, value."""
     feature, cut, left = [-1] * classes, [0] * classes, [-1] * classes
-    sums = [None] * classes
+
+    def tree():
+        return np.array(feature), np.array(cut), np.array(left)
+
     open_nodes = list(range(classes))
-    hist = add(_histogram(layout, bins, grad, hess, node, classes))
+    hist = sums_of(tree(), open_nodes)
+    sums = list(hist[:, layout.feature == 0].sum(axis=1))
     for level in range(depth):
         gain, at, less, total = _best_splits(layout, hist, l2, min_child)
         parents, small = [], []
         for i, v in enumerate(open_nodes):
-            sums[v] = total[i]
             if gain[i] > LEAST_GAIN:
                 feature[v], cut[v], left[v] = int(layout.feature[at[i]]), int(layout.bin[at[i]]), len(feature)
                 feature += [-1, -1]
@@ -179,16 +190,10 @@ def _grow_round(layout: _Layout, bins: np.ndarray, y: np.ndarray, scores: np.nda
                 sums += [less[i], total[i] - less[i]]
                 parents.append(i)
                 small.append(left[v] + int(2 * less[i][1] > total[i][1]))
-        if not parents:
+        if not parents or level + 1 == depth:
             break
         children = [left[open_nodes[i]] + side for i in parents for side in (0, 1)]
-        # rows stand in leaves of the level before, so only new splits move them
-        _move(bins, node, np.array(feature), np.array(cut), np.array(left))
-        if level + 1 == depth:
-            break
-        slot_of = np.full(len(feature), -1)
-        slot_of[small] = np.arange(len(small))
-        light = add(_histogram(layout, bins, grad, hess, slot_of[node], len(small)))
+        light = sums_of(tree(), small)
         heavy = hist[parents] - light
         hist = np.empty((len(children), layout.size, 2), np.int64)
         side = np.array(small) - np.array(children[::2])
@@ -196,68 +201,45 @@ def _grow_round(layout: _Layout, bins: np.ndarray, y: np.ndarray, scores: np.nda
         hist[pair + side] = light
         hist[pair + 1 - side] = heavy
         open_nodes = children
-    if sums[0] is None:  # depth 0
-        for v in range(classes):
-            sums[v] = hist[v, layout.feature == 0].sum(axis=0)
     s = np.array(sums, np.float64) / SCALE
     value = np.where(np.array(feature) < 0, -rate * s[:, 0] / (s[:, 1] + l2), 0.0)
-    scores += value[node]
-    return np.array(feature), np.array(cut), np.array(left), value
+    return *tree(), value
 
 
-def _rebuild(bins: np.ndarray, scores: np.ndarray, rounds: list) -> None:
-    """Scores of the rounds found by earlier stages."""
-    classes, n = scores.shape
-    for feature, cut, left, value in rounds:
-        node = np.repeat(np.arange(classes)[:, None], n, axis=1)
-        while (feature[node] >= 0).any():
-            _move(bins, node, feature, cut, left)
-        scores += value[node]
+# ---------------------------------------------------------------- fit
 
+def _scored_blocks(binned: DataFrame, layout: _Layout, classes: int, done: list):
+    """Persisted blocks (y, bins, scores after the rounds ``done``)."""
+    width = len(layout.start)
+    given = binned.sparkSession.sparkContext.broadcast(list(done))
 
-# ---------------------------------------------------------------- fit
+    def block(row):
+        y = np.frombuffer(row.y, np.int32)
+        bins = np.frombuffer(row.bins, np.uint8).reshape(len(y), width)
+        scores = np.zeros((classes, len(y)))
+        _raise_scores(bins, scores, given.value)
+        return y, bins, scores
 
-def _segment(binned: DataFrame, cuts: list[np.ndarray], classes: int, done: list, rounds: int, depth: int, rate: float,
-             l2: float, min_child: float, tasks: int) -> list:
-    """``rounds`` more rounds in one barrier stage."""
-    found = len(done)
-    given = binned.sparkSession.sparkContext.broadcast(done)
+    return binned.rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = _Layout(cuts)
-        ys, xs = [], []
-        for batch in batches:
-            ys.append(batch.column("y").to_numpy(zero_copy_only=False))
-            xs.append(np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, len(cuts)))
-        y = np.concatenate(ys) if ys else np.zeros(0, np.int32)
-        bins = np.concatenate(xs) if xs else np.zeros((0, len(cuts)), np.uint8)
-        del ys, xs
-        ctx = BarrierTaskContext.get()
-
-        def add(part: np.ndarray) -> np.ndarray:
-            flat = part.ravel()
-            out = np.zeros_like(flat)
-            step = max(1, SENT // tasks)
-            for lo in range(0, len(flat), step):
-                mine = base64.b64encode(flat[lo:lo + step].tobytes()).decode("ascii")
-                for text in ctx.allGather(mine):
-                    out[lo:lo + step] += np.frombuffer(base64.b64decode(text), np.int64)
-            return out.reshape(part.shape)
 
-        scores = np.zeros((classes, len(y)))
-        _rebuild(bins, scores, given.value)
-        for r in range(found, found + rounds):
-            feature, cut, left, value = _grow_round(layout, bins, y, scores, add, depth, rate, l2, min_child)
-            if ctx.partitionId() == 0:
-                size = len(feature)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, r), pa.int32()), pa.array(np.arange(size), pa.int32()), pa.array(feature, pa.int32()),
-                     pa.array(cut, pa.int32()), pa.array(left, pa.int32()), pa.array(value, pa.float64())],
-                    ["round", "node", "feature", "bin", "left", "value"])
+def _sums(blocks, layout: _Layout, pending: list, tree, nodes: list[int]) -> np.ndarray:
+    """Histograms of ``nodes`` over all blocks, one narrow job."""
+    slots = len(nodes)
+    slot_of = np.full(len(tree[0]), -1)
+    slot_of[nodes] = np.arange(slots)
+
+    def part(rows):
+        out = np.zeros((slots, layout.size, 2), np.int64)
+        for y, bins, scores in rows:
+            scores = scores.copy()
+            _raise_scores(bins, scores, pending)
+            grad, hess = _gradients(y, scores)
+            out += _histogram(layout, bins, grad, hess, slot_of[_leaves(bins, len(scores), *tree)], slots)
+        yield out
 
-    nodes = binned.repartition(tasks).mapInArrow(run, NODE_SCHEMA, barrier=True).toPandas().sort_values(["round", "node"])
-    given.destroy()
-    return [tuple(g[c].to_numpy() for c in ("feature", "bin", "left", "value")) for _, g in nodes.groupby("round")]
+    parts = blocks.mapPartitions(part)
+    return parts.treeReduce(np.add) if blocks.getNumPartitions() > FAN_IN else sum(parts.collect())
 
 
 def boost(rows: DataFrame, features: str, label: str, classes: int, rounds: int, depth: int, rate: float, l2: float = 1.0,
@@ -275,11 +257,23 @@ def boost(rows: DataFrame, features: str, label: str, classes: int, rounds: int,
         leaf = (np.full(classes, -1), np.zeros(classes, int), np.full(classes, -1), np.zeros(classes))
         return BoostedTreesModel(features, classes, [], [leaf] * rounds)
     cuts = feature_cuts(x, "x", width, max_bins)
-    binned = checkpoint(_binned(x, cuts))
-    tasks = min(tasks or rows.sparkSession.sparkContext.defaultParallelism, MAX_TASKS)
+    layout = _Layout(cuts)
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
+    binned = checkpoint(_binned(x.repartition(tasks), cuts))
     done: list = []
-    while len(done) < rounds:
-        done += _segment(binned, cuts, classes, done, min(SEGMENT, rounds - len(done)), depth, rate, l2, min_child, tasks)
+    blocks = None
+    for r in range(rounds):
+        if r % PENDING == 0:
+            if blocks is not None:
+                blocks.unpersist()
+            blocks, since = _scored_blocks(binned, layout, classes, done), r
+
+        def sums_of(tree, nodes):
+            return _sums(blocks, layout, done[since:], tree, nodes)
+
+        done.append(_grow_round(layout, sums_of, classes, depth, rate, l2, min_child))
+    if blocks is not None:
+        blocks.unpersist()
     return BoostedTreesModel(features, classes, cuts, done)
 
 

@@ -83,7 +83,7 @@ def same(a, b):
 
 def test_equals_a_plain_booster_split_by_split(spark, table, monkeypatch):
     x, y = table
-    monkeypatch.setattr(BO, "SEGMENT", 4)  # scores are rebuilt between stages
+    monkeypatch.setattr(BO, "PENDING", 4)  # scores are renewed within the fit
     df = frame(spark, x, y)
     m = BO.boost(df, "features", "label", CLASSES, ROUNDS, DEPTH, RATE, tasks=3)
     cuts = [np.unique(x[:, f])[:-1] for f in range(4)]
