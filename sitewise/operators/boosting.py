@@ -153,8 +153,23 @@ def _leaves(bins: np.ndarray, classes: int, feature: np.ndarray, cut: np.ndarray
 
 
 def _raise_scores(bins: np.ndarray, scores: np.ndarray, rounds: list) -> None:
-    for feature, cut, left, value in rounds:
-        scores += value[_leaves(bins, len(scores), feature, cut, left)]
+    """Adds the leaf values of ``rounds``, in order; ``PENDING`` rounds are walked
+    down together."""
+    row = np.arange(len(bins))
+    for lo in range(0, len(rounds), PENDING):
+        part = rounds[lo:lo + PENDING]
+        offset = np.cumsum([0] + [len(r[0]) for r in part[:-1]])
+        feature, cut, value = (np.concatenate([r[i] for r in part]) for i in (0, 1, 3))
+        left = np.concatenate([r[2] + o for r, o in zip(part, offset)])
+        node = np.repeat((offset[:, None] + np.arange(len(scores))).reshape(-1, 1), len(bins), axis=1)
+        while True:
+            f = feature[node]
+            inner = f >= 0
+            if not inner.any():
+                break
+            node = np.where(inner, left[node] + (bins[row, np.where(inner, f, 0)] > cut[node]), node)
+        for leaf in value[node].reshape(len(part), *scores.shape):
+            scores += leaf
 
 
 def _gradients(y: np.ndarray, scores: np.ndarray):
