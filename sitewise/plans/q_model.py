@@ -136,7 +136,7 @@ def model_roundtrip(s, d):
     return a.join(b, "id").withColumn("same", F.col("pred_before") == F.col("pred_after"))
 
 
-# The reference's ranges (03_analysis.R); learn_rate is given in log10.
+# The reference's ranges; learn_rate is given in log10.
 POINTS, FOLDS = 10, 5
 GRIDS = {
     "random_forest": MO.latin_hypercube(
