@@ -99,10 +99,12 @@ def one_hot_columns(df: DataFrame, col: str, levels: Sequence[str] | None = None
 
 def random_forest(num_trees: int = 50, mtry: int | None = None, min_n: int = 1, seed: int = 123, max_bins: int = 64,
                   max_depth: int = 30):
-    """30 is the deepest tree Spark grows; ``min_n`` ends the branches."""
+    """30 is the deepest tree Spark grows; ``min_n`` ends the branches. Each row's
+    nodes are kept between levels: walking every row down every tree anew makes
+    a pass dearer with each level. The trees are the same either way."""
     return RandomForestClassifier(
         numTrees=num_trees, featureSubsetStrategy=str(mtry) if mtry else "sqrt", minInstancesPerNode=min_n,
-        maxDepth=max_depth, seed=seed, maxBins=max_bins, labelCol="label", featuresCol="features",
+        maxDepth=max_depth, seed=seed, maxBins=max_bins, cacheNodeIds=True, labelCol="label", featuresCol="features",
     )
 
 

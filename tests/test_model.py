@@ -44,6 +44,14 @@ def test_accuracy_above_majority_and_roundtrip(spark, separable, tmp_path):
     assert all(abs(r["s"] - 1) < 1e-9 for r in probs)
 
 
+def test_forest_keeps_node_ids_and_its_trees(spark, separable):
+    """Levels start from each row's node, not from the root; the trees stay."""
+    est = MO.random_forest(6, 2, 1)
+    assert est.getCacheNodeIds()
+    kept, walked = (MO.fit(_recipe(), e, separable).stages[-1] for e in (est, est.copy({est.cacheNodeIds: False})))
+    assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
 def test_boosted_and_others_predict_all_rows(spark, separable):
     for est in (MO.boosted_trees(3, 2, 0.3), MO.logistic(0.0), MO.linear_svm(0.01), MO.decision_tree(3)):
         pr = MO.predict(MO.fit(_recipe(), est, separable), separable, "id", "y", LV)
