@@ -64,6 +64,13 @@ def test_adaboost_separable(spark, separable):
     assert out.agg(F.avg((F.col("truth") == F.col("pred")).cast("double"))).first()[0] > 0.8
 
 
+def test_adaboost_gives_one_row_per_test_row(spark, separable):
+    """Repeated keys: votes are added row by row, not joined by key."""
+    few = separable.where("id < 40")
+    out = MO.adaboost_samme(_recipe(), separable, few.unionByName(few), "id", "y", LV, rounds=3, depth=2)
+    assert out.count() == 80 and out.distinct().count() == 40
+
+
 def test_split_and_folds_are_stable(spark, separable):
     a = WI.stratified_split(separable, "y", "id").select("id", "split")
     b = WI.stratified_split(separable.repartition(7), "y", "id").select("id", "split")
