@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sitewise.operators import model as MO
@@ -127,6 +128,46 @@ def test_shapley_additivity(spark, separable):
         assert r["s"] == pytest.approx(r["fx"] - r["base"], abs=1e-9)
 
 
+def plain_shapley(m, rows, background, features, samples, seed=123):
+    """Each walk step by step, every mixture scored; hashes taken from Spark."""
+    spark = rows.sparkSession
+    bg = [r.asDict() for r in background.withColumn("h", F.xxhash64("id", F.lit(seed))).orderBy("h", "id").drop("h").collect()]
+    hashes = spark.range(samples).withColumnRenamed("id", "s").crossJoin(rows).withColumn("sid", F.col("id") * 1009 + F.col("s")).select(
+        "id", "s", F.pmod(F.xxhash64(F.col("sid"), F.lit(seed + 1)), F.lit(len(bg))).alias("b"),
+        F.array(*[F.xxhash64("sid", F.lit(j), F.lit(seed)) for j in range(len(features))]).alias("h")).collect()
+    xs = {r["id"]: r.asDict() for r in rows.collect()}
+    mixed = []
+    for w in hashes:
+        order = sorted(range(len(features)), key=lambda j: (w["h"][j], j))
+        for t in range(len(features) + 1):
+            row = {**bg[w["b"]], **{features[j]: xs[w["id"]][features[j]] for j in order[:t]}}
+            mixed.append((w["id"], int(w["s"]), t, features[order[t - 1]] if t else None, *[row[f] for f in features], row["y"]))
+    types = dict(rows.dtypes)
+    df = spark.createDataFrame(mixed, "k long, s int, t int, added string, " + ", ".join(f"{f} {types[f]}" for f in features) + ", y string")
+    got = m.transform(df).select("k", "s", "t", "added", vector_to_array("probability").alias("p")).collect()
+    cls = {r["id"]: int(r["prediction"]) for r in m.transform(rows).select("id", "prediction").collect()}
+    f = {(r["k"], r["s"], r["t"]): r["p"][cls[r["k"]]] for r in got}
+    phi = {(i, g): 0.0 for i in xs for g in features}
+    for r in got:
+        if r["t"]:
+            phi[r["k"], r["added"]] += (f[r["k"], r["s"], r["t"]] - f[r["k"], r["s"], r["t"] - 1]) / samples
+    return phi
+
+
+@pytest.mark.parametrize("features", [["x1", "x2", "cat"], ["x1"]])
+def test_shapley_equals_plain_walks_without_ordering_them(spark, separable, features):
+    m = MO.fit(_recipe(), MO.random_forest(5, 2, 1), separable)
+    small = separable.where("id < 9")
+    if len(features) == 1:  # a model of the one feature alone
+        m = MO.fit(MO.feature_recipe(["x1"], [], "y", LV), MO.random_forest(5, None, 1), separable)
+    out = MO.shapley_sampled(m, small, separable, features, "id", LV, samples=4)
+    assert "lag(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = plain_shapley(m, small, separable, features, 4)
+    got = {(r["id"], r["feature"]): r["phi"] for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_permutation_importance_ranks_signal(spark, separable):
     m = MO.fit(_recipe(), MO.random_forest(10, 2, 1), separable)
     imp = {r["feature"]: r["importance"] for r in MO.permutation_importance(m, separable, ["x1", "x2", "cat"], "id", "y", LV).collect()}
