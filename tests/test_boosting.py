@@ -127,3 +127,20 @@ def test_edge_rows(spark, table):
     assert (stump.feature == -1).all()
     with pytest.raises(ValueError):
         BO.boost(frame(spark, x, y), "features", "label", CLASSES, 1, 1, RATE, max_bins=300)
+
+
+def test_a_round_goes_on_from_the_blocks_before_it(spark, table):
+    """Scores and gradients after one more round equal those derived from all trees anew."""
+    x, y = table
+    layout = BO._Layout([np.unique(x[:, f])[:-1] for f in range(4)])
+    cuts = [np.unique(x[:, f])[:-1] for f in range(4)]
+    rows = frame(spark, x, y, 2).select(vector_to_array("features").alias("x"), F.col("label").alias("y"))
+    binned = BO._binned(rows, cuts).checkpoint()
+    done = []
+    blocks = BO._scored_blocks(binned, layout, CLASSES, done)
+    for _ in range(3):
+        done.append(BO._grow_round(layout, lambda tree, nodes: BO._sums(blocks, layout, tree, nodes), CLASSES, 2, RATE, 1.0, 1.0))
+        blocks = BO._next_blocks(blocks, done[-1])
+    anew = BO._scored_blocks(binned, layout, CLASSES, done).collect()
+    for a, b in zip(blocks.collect(), anew, strict=True):
+        assert all(np.array_equal(i, j) for i, j in zip(a, b, strict=True))
