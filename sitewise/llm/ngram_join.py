@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.llm.gate import gate, passes
-from sitewise.llm.textbytes import mix, text_chunks, words
+from sitewise.llm.textbytes import LEAN, mix, text_chunks, words
 from sitewise.session import checkpoint, shared_path
 
 SIZE, PERCENT = 5, 80
@@ -98,7 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.uint32)
     shift = _U(64 - (SLOTS.bit_length() - 1))
     for batch in batches:
-        for _, buf, offsets in text_chunks(batch.column("text"), 1 << 20):
+        for _, buf, offsets in text_chunks(batch.column("text"), LEAN):
             sets = shingles(buf, offsets)
             if sets:
                 slot = (np.concatenate(sets) >> shift).astype(np.int64)
@@ -152,7 +152,7 @@ def _sets(counts):
             out = {c: [] for c in _SETS_ARROW.names}
             docs = batch.column("doc_id").to_pylist()
             at = 0
-            for _, buf, offsets in text_chunks(batch.column("text")):
+            for _, buf, offsets in text_chunks(batch.column("text"), LEAN):
                 for s in shingles(buf, offsets):
                     n = len(s)
                     out["doc_id"].append(docs[at])

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 18
+LEAN = 1 << 16  # for steps of many arrays as long as the chunk; workers keep what they once took
 WHITE = b" \t\n\x0b\x0c\r"
 _U = np.uint64
 _MASK = (1 << 64) - 1

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sitewise.llm import decontaminate, gate, hmm, ngram_join, ordinal
+from sitewise.llm import decontaminate, gate, hmm, ngram_join, ordinal, textbytes
 from sitewise.llm.textbytes import text_chunks, words
 
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -339,3 +340,19 @@ def test_pipeline_stages_keep_the_columns_and_take_edges(spark, edge, empty):
         for _, stage in cp.STAGES[:-1]:
             assert stage(spark, rows, "/root/testdata/sf0.001").columns == rows.columns
         assert cp.STAGES[-1][1](spark, rows, "/root/testdata/sf0.001").count() == rows.count()
+
+
+@pytest.mark.parametrize("step", [ngram_join._sketch, ordinal._slots])
+def test_a_batch_takes_the_memory_of_a_chunk(step, monkeypatch):
+    """Workers keep what they once took, so a large batch must not raise it."""
+    monkeypatch.setattr(textbytes, "_powers", (np.ones(1, np.uint64), np.ones(1, np.uint64)))
+    monkeypatch.setattr(ngram_join, "SLOTS", 1 << 12)
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, 500, 300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "grade": pa.array([0] * len(texts), pa.int32())})
+    assert batch.nbytes > 2_000_000
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in step([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 13_000_000
