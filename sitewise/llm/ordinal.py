@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.tables import fresh
-from sitewise.llm.textbytes import LEAN, LETTER_TABLES, WHITE, byte_tables, mix, text_chunks, words
+from sitewise.llm.textbytes import LEAN, LETTER_TABLES, TEXTS, WHITE, byte_tables, mix, text_chunks, text_parts, words
 
 BUCKETS = 1 << 18
 GRAM = 4
@@ -190,7 +190,7 @@ def _fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, s
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_parts(batches, TEXTS):
         found = [x.tobytes() for _, buf, off in text_chunks(batch.column("text"), LEAN) for x in features(buf, off)]
         yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int32()), pa.array(found, pa.binary())], names=["grade", "slots"])
 
@@ -231,7 +231,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel | None, keep_grade: int
     schema = StructType([*docs.schema.fields, *(StructField(c, t()) for c, t in zip(out, (DoubleType, DoubleType, BooleanType), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches, TEXTS):
             scores = [model.score(features(buf, off)) for _, buf, off in text_chunks(batch.column("text"), LEAN)]
             tails = model.tails(np.concatenate(scores) if scores else np.empty(0))
             tail = tails[:, keep_grade - 1] if keep_grade > 0 else np.ones(len(tails))

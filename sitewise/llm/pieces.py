@@ -31,22 +31,25 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.llm.textbytes import text_parts
+
 SPACE = "▁"
 SHORT = 48  # characters; longer chunks have a heap
 CELLS = 1 << 18  # symbols of short chunks worked on together
 BLOCK = 1 << 16  # characters given to the library at once
-SIZE = 1 << 21  # characters of texts encoded together
+SIZE = 1 << 19  # characters of texts encoded together
 _NONE = np.iinfo(np.int32).max
 _PAD = -1
+_LOW = (1 << 32) - 1
 
 
 def _ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -82,7 +85,7 @@ class MergeEncoder:
 
     def _tables(self, score: dict[str, float]) -> None:
         """Numbers of symbols (pieces and their characters) and the pair table:
-        (left, right) -> (rank of the merged piece, its number)."""
+        (left, right) -> rank of the merged piece << 32 | its number."""
         self.symbols = list(dict.fromkeys(chain(self.id, chain.from_iterable(self.id))))
         number = {s: i for i, s in enumerate(self.symbols)}
         levels = {v: i for i, v in enumerate(sorted(set(score.values()), reverse=True))}
@@ -90,13 +93,13 @@ class MergeEncoder:
         for piece in self.id:
             for i in range(1, len(piece)):
                 if (x := number.get(piece[:i])) is not None and (y := number.get(piece[i:])) is not None:
-                    self.pair[x << 32 | y] = (levels[score[piece]], number[piece])
+                    self.pair[x << 32 | y] = levels[score[piece]] << 32 | number[piece]
         keys = np.fromiter(self.pair, np.int64, len(self.pair))
         order = np.argsort(keys)
         # the last key is greater than any pair's
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        values = np.array(list(self.pair.values()), np.int32).reshape(-1, 2)[order]
-        self.rank, self.to = np.append(values[:, 0], _NONE).astype(np.int32), np.append(values[:, 1], _PAD)
+        values = np.fromiter(self.pair.values(), np.int64, len(self.pair))[order]
+        self.rank, self.to = np.append(values >> 32, _NONE).astype(np.int32), np.append(values & _LOW, _PAD).astype(np.int32)
         # a character outside the vocabulary is the number of symbols plus its code point
         self.of_char = np.arange(0x110000, dtype=np.int32) + len(self.symbols)
         for s, i in number.items():
@@ -153,7 +156,7 @@ class MergeEncoder:
         symbols changed are skipped."""
         get, n = self.pair.get, len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(e[0], i, i + 1, k, e[1]) for i in range(n - 1) if (e := get(k := sym[i] << 32 | sym[i + 1])) is not None]
+        agenda = [(e >> 32, i, i + 1, k, e & _LOW) for i in range(n - 1) if (e := get(k := sym[i] << 32 | sym[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, a, b, key, new = heapq.heappop(agenda)
@@ -164,10 +167,10 @@ class MergeEncoder:
             if c < n:
                 before[c] = a
                 if (e := get(k := new << 32 | sym[c])) is not None:
-                    heapq.heappush(agenda, (e[0], a, c, k, e[1]))
+                    heapq.heappush(agenda, (e >> 32, a, c, k, e & _LOW))
             p = before[a]
             if p >= 0 and (e := get(k := sym[p] << 32 | new)) is not None:
-                heapq.heappush(agenda, (e[0], p, a, k, e[1]))
+                heapq.heappush(agenda, (e >> 32, p, a, k, e & _LOW))
         return [x for x in sym if x != _PAD]
 
     def merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,21 +247,17 @@ class MergeEncoder:
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text, the end id last."""
-        cut = [self.chunks(t) for t in texts]
-        every = dict.fromkeys(chain.from_iterable(cut))
-        distinct = list(every)
-        ids, count = self.merge(distinct)
+        number = defaultdict(count().__next__)  # of distinct chunks; those of a text are let go once numbered
+        cut = [np.fromiter(map(number.__getitem__, c), np.int32, len(c)) for c in map(self.chunks, texts)]
+        distinct = list(number)
+        del number
+        ids, n = self.merge(distinct)
         if self.alone:
-            self.check(distinct, ids, count)
-        begin = np.cumsum(count) - count
-        every.update(zip(distinct, range(len(distinct)), strict=True))
-        n_chunks = list(map(len, cut))
-        which = np.fromiter(map(every.__getitem__, chain.from_iterable(cut)), np.int64, sum(n_chunks))
-        n = count[which]
-        out = ids[_ragged(begin[which], n)]
-        upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *n_chunks])].tolist()
-        for i, (a, b) in enumerate(zip(upto[:-1], upto[1:], strict=True)):
-            got = out[a:b].tolist()
+            self.check(distinct, ids, n)
+        del distinct
+        begin = np.cumsum(n) - n
+        for i, which in enumerate(cut):
+            got = ids[_ragged(begin[which], n[which])].tolist()
             if (i == 0 or not self.alone) and self.lib.encode(texts[i]) != got:
                 raise ValueError("differs from the library on a whole text")
             yield [*got, self.eos]
@@ -281,31 +280,23 @@ _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _IDS = "doc_id long, token_ids array<int>, decoded string"
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have SIZE bytes or less together, or one text."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        run = np.cumsum(size)
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(run, run[a] - size[a] + SIZE, side="right")))
-            yield batch.slice(a, b - a)
-            a = b
-
-
 def _rows(model: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        types = (pa.int64(), pa.list_(pa.int32()), pa.string()) if full else (pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ["doc_id", "token_ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        for part in _parts(batches):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            got = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(texts), strict=True):
-                back = enc.lib.decode(ids)
-                got.append((doc, ids, back) if full else (doc, len(ids), sha(enc.show(ids)), sha(back)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=names)
+        for part in text_parts(batches, SIZE):
+            n, kept, back = [], [], []
+            for ids in enc.encode_batch([t or "" for t in part.column("text").to_pylist()]):
+                n.append(len(ids))
+                text = enc.lib.decode(ids)
+                kept.append(np.array(ids, np.int32) if full else sha(enc.show(ids)))
+                back.append(text if full else sha(text))
+            if full:
+                cols = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(kept))), pa.array(back, pa.string())]
+            else:
+                cols = [pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=names)
 
     return run
 

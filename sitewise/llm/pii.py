@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from sitewise.llm.gate import Gate, gate, passes
 from sitewise.llm.tables import fresh, match
-from sitewise.llm.textbytes import LETTER_TABLES, mix, text_chunks, words
+from sitewise.llm.textbytes import LEAN, LETTER_TABLES, TEXTS, mix, text_chunks, text_parts, words
 from sitewise.session import checkpoint
 
 CONTEXT = 8
@@ -52,7 +52,7 @@ CHANCE = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalise", "remove")
-SLICE = 1 << 20  # words counted at a time
+SLICE = 1 << 18  # words counted at a time
 LABEL = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "generalise": "<TERM>", "remove": ""}
 
 # The patterns are those of the contract in a form that takes linear time: a
@@ -145,7 +145,7 @@ _FOUND_ARROW = pa.schema([
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_parts(batches, TEXTS):
         out = {c: [] for c in _FOUND_ARROW.names}
         for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "text")), strict=True):
             spans = entities(text)
@@ -182,7 +182,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n): texts of a slice that hold the word, for all words."""
     for batch in batches:
         found, held = [], 0
-        for _, buf, offsets in text_chunks(batch.column("text")):
+        for _, buf, offsets in text_chunks(batch.column("text"), LEAN):
             h, n, _ = words(buf, offsets, LETTER_TABLES)
             h = h.view(np.int64)
             doc = np.repeat(np.arange(len(n)), n)
@@ -253,7 +253,7 @@ def _standing(term_bits, pair_bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         revealing, paired = Gate(term_bits.value).test, Gate(pair_bits.value).test
-        for batch in batches:
+        for batch in text_parts(batches, TEXTS):
             out = {"_row": [], "entity": [], "term": []}
             for row, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "text")), strict=True):
                 held = {name(text, *s) for s in entities(text)}
@@ -276,7 +276,7 @@ def _added(remove: float):
     """Spans of a document's revealing terms, outside its entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches, TEXTS):
             out = []
             for row, text, terms in zip(*(batch.column(c).to_pylist() for c in ("_row", "text", "terms")), strict=True):
                 level = {t["term"]: t["disclosure"] for t in terms}

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 18
+TEXTS = 1 << 20  # bytes of texts that are Python objects at a time
 LEAN = 1 << 16  # for steps of many arrays as long as the chunk; workers keep what they once took
 WHITE = b" \t\n\x0b\x0c\r"
 _U = np.uint64
@@ -97,6 +98,19 @@ def text_chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndar
         a = b
 
 
+def text_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have size bytes or less together, or one text:
+    what a step makes of a batch is in memory for one run at a time."""
+    for batch in batches:
+        n = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        run = np.cumsum(n)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(run, run[a] - n[a] + size, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, tables=WORD_TABLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, word counts per text, byte starts) of one chunk."""
     n_docs = len(offsets) - 1

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -297,3 +299,24 @@ def test_secrets_edges(edge, empty, spark):
     none = secrets_forest.scan(empty)
     assert secrets_forest.classify(none, secrets_forest.label_by_form(none)).count() == 0
     assert secrets_forest.scan(spark.createDataFrame([(1, "abcDEF123456789")], "doc_id long, text string")).count() == 1
+
+
+# ------------------------------------------------------------------ memory of a batch
+
+
+@pytest.mark.parametrize("full", [True, False])
+def test_a_batch_takes_the_memory_of_a_part(full):
+    rng = random.Random(3)
+    some = ["".join(rng.choices("abcdeinorsté", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(some, k=300)) + f" x{i}@example.org" for i in range(2000)]
+    batch = pa.record_batch({"doc_id": range(2000), "_row": range(2000), "text": texts})
+    del texts
+    pieces.worker_encoder(MODEL)
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in pieces._rows(MODEL, full)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000
+    assert peak < 24e6
